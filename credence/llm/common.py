@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are handed to numpy in groups of about this many bytes, so that a
@@ -55,7 +56,7 @@ def drop(table: DataFrame) -> None:
 
 def text_groups(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) of a string column that hold about ``limit`` bytes each."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
     start, total = 0, 0
     for row, size in enumerate(sizes.tolist()):
         if total and total + size > limit:
@@ -68,7 +69,7 @@ def text_groups(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) ->
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and the offsets of its rows; null counts as empty."""
-    column = pa.compute.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_string()), "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     _, offsets, data = column.buffers()

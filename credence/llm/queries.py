@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import quality, sharding
+from credence.llm import huffman, packing, quality, sharding, simhash
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op4_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.rated(docs.select("doc_id", "text"), labels).select(
@@ -18,12 +32,19 @@ def op6_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minimum_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(packing.pieces(table(spark, sf_dir, "documents"), vocabulary()))
+
+
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_huffman_ids": op3_huffman_ids,
+    "op4_pivot_simhash": op4_pivot_simhash,
     "op6_quality_ratio": op6_quality_ratio,
+    "op9_minimum_slack": op9_minimum_slack,
     "op10_virtual_slots": op10_virtual_slots,
 }
 
