@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import huffman, packing, quality, sharding, simhash
+from credence.llm import decontaminate, huffman, licenses, packing, quality, sharding, simhash, toxicity
 
 
 def vocabulary() -> str:
@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -25,6 +33,10 @@ def op4_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.rated(docs.select("doc_id", "text"), labels).select(
@@ -41,11 +53,14 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_digests": op1_license_digests,
+    "op2_toxicity_chain": op2_toxicity_chain,
     "op3_huffman_ids": op3_huffman_ids,
     "op4_pivot_simhash": op4_pivot_simhash,
+    "op5_decontamination": op5_decontamination,
     "op6_quality_ratio": op6_quality_ratio,
     "op9_minimum_slack": op9_minimum_slack,
     "op10_virtual_slots": op10_virtual_slots,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_license_digests": licenses.scan_sql()}
