@@ -116,77 +116,96 @@ def rare(frequencies: np.ndarray, documents: int) -> np.ndarray:
     return frequencies <= max(RARE * middle, RARE_SHARE * documents)
 
 
-def _block_leaks(docs: DataFrame, block: list[tuple[int, np.ndarray]], documents: int, threshold: float) -> DataFrame:
-    grams = [gram_hashes(w, min(NGRAM, len(w))) for _, w in block]
-    short = min(min(NGRAM, len(w)) for _, w in block)
-    everything = Seeds(np.concatenate(grams))
-    frequencies = gram_frequencies(docs, everything, short)
-    chosen = [g[rare(frequencies[np.searchsorted(everything.grams, g)], documents)] for g in grams]
-    seeds = Seeds(np.concatenate(chosen))
-    owners: list[list[tuple[int, int]]] = [[] for _ in seeds.grams]
-    for k, (found, all_of) in enumerate(zip(chosen, grams, strict=True)):
-        place = {g: i for i, g in reversed(list(enumerate(all_of.tolist())))}
-        for gram in np.unique(found).tolist():
-            owners[int(np.searchsorted(seeds.grams, np.uint64(gram)))].append((k, place[gram]))
-    sent = docs.sparkSession.sparkContext.broadcast((seeds, owners, block))
-
-    def leaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, owners, block = sent.value
-        for batch in batches:
-            rows = []
-            for first, words, bounds, at, number in _scan(batch, seeds, short):
-                text = np.searchsorted(bounds, at, "right") - 1
-                # the passage an item would fill if it began where the seed suggests
-                windows: dict[tuple[int, int], list[int]] = {}
-                for place, seed, doc in zip(at.tolist(), number.tolist(), text.tolist(), strict=True):
-                    for item, offset in owners[seed]:
-                        windows.setdefault((doc, item), []).append(place - offset)
-                for (doc, item), begins in windows.items():
-                    item_id, wanted = block[item]
-                    slack = len(wanted) // 2 + 2
-                    low, high = int(bounds[doc]), int(bounds[doc + 1])
-                    best, reach = 0, None
-                    for begin in [*sorted(begins), None]:
-                        # windows that overlap are aligned as one
-                        if reach is not None and (begin is None or begin - slack > reach[1]):
-                            best = max(best, align(wanted, words[max(low, reach[0]) : min(high, reach[1])]))
-                            reach = None
-                        if begin is not None:
-                            end = begin + len(wanted) + slack
-                            reach = (begin - slack, end) if reach is None else (reach[0], max(reach[1], end))
-                    similarity = best / (MATCH * len(wanted))
-                    if similarity >= threshold:
-                        rows.append((first + doc, item_id, best, similarity))
-            if rows:
-                row, item, score, similarity = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(pa.array(row)),
-                        pa.array(item, pa.int64()),
-                        pa.array(score, pa.int64()),
-                        pa.array(similarity),
-                    ],
-                    ["doc_id", "item_id", "score", "similarity"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        leaks, "doc_id long, item_id long, score long, similarity double"
-    )
+class Finder:
+    """Finds the items of one block in batches of documents."""
+
+    def __init__(self, docs: DataFrame, block: list[tuple[int, np.ndarray]], documents: int, threshold: float):
+        grams = [gram_hashes(w, min(NGRAM, len(w))) for _, w in block]
+        self.short = min(min(NGRAM, len(w)) for _, w in block)
+        self.block, self.threshold = block, threshold
+        everything = Seeds(np.concatenate(grams))
+        frequencies = gram_frequencies(docs, everything, self.short)
+        chosen = [g[rare(frequencies[np.searchsorted(everything.grams, g)], documents)] for g in grams]
+        self.seeds = Seeds(np.concatenate(chosen))
+        # for each seed, the items that have it and where in them it stands first
+        self.owners: list[list[tuple[int, int]]] = [[] for _ in self.seeds.grams]
+        for k, (found, all_of) in enumerate(zip(chosen, grams, strict=True)):
+            place = {g: i for i, g in reversed(list(enumerate(all_of.tolist())))}
+            for gram in np.unique(found).tolist():
+                self.owners[int(np.searchsorted(self.seeds.grams, np.uint64(gram)))].append((k, place[gram]))
+
+    def best(self, wanted: np.ndarray, words: np.ndarray, begins: list[int]) -> int:
+        """Best alignment of an item in a document whose seeds suggest that it begins at ``begins``."""
+        slack = len(wanted) // 2 + 2
+        best, low, high = 0, None, 0
+        for begin in sorted(begins):
+            # windows that overlap are aligned as one
+            if low is not None and begin - slack > high:
+                best = max(best, align(wanted, words[max(0, low) : high]))
+                low = None
+            low = begin - slack if low is None else low
+            high = begin + len(wanted) + slack
+        return max(best, align(wanted, words[max(0, low) : high]))
+
+    def leaks(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, float]]:
+        """(row, item_id, score, similarity) of every leak in a batch."""
+        for first, words, bounds, at, number in _scan(batch, self.seeds, self.short):
+            text = np.searchsorted(bounds, at, "right") - 1
+            begins: dict[tuple[int, int], list[int]] = {}
+            for place, seed, doc in zip(at.tolist(), number.tolist(), text.tolist(), strict=True):
+                for item, offset in self.owners[seed]:
+                    begins.setdefault((doc, item), []).append(place - int(bounds[doc]) - offset)
+            for (doc, item), found in begins.items():
+                item_id, wanted = self.block[item]
+                best = self.best(wanted, words[bounds[doc] : bounds[doc + 1]], found)
+                similarity = best / (MATCH * len(wanted))
+                if similarity >= self.threshold:
+                    yield first + doc, item_id, best, similarity
+
+
+def finders(docs: DataFrame, benchmark: DataFrame, threshold: float) -> Iterator:
+    """A broadcast finder for each block of the benchmark."""
+    texts = docs.select(F.col("text").cast("string"))
+    documents = docs.count()
+    for block in items_of(benchmark):
+        yield docs.sparkSession.sparkContext.broadcast(Finder(texts, block, documents, threshold))
 
 
 def leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score and similarity of every leak."""
-    docs = docs.select("doc_id", F.col("text").cast("string"))
-    documents = docs.count()
-    parts = [_block_leaks(docs, block, documents, threshold) for block in items_of(benchmark)]
-    if not parts:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score long, similarity double")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
+    schema = "doc_id long, item_id long, score long, similarity double"
+    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    out = docs.sparkSession.createDataFrame([], schema)
+    for sent in finders(docs, benchmark, threshold):
+
+        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if rows := list(sent.value.leaks(batch)):
+                    row, item, score, similarity = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("doc_id").take(pa.array(row)),
+                            pa.array(item, pa.int64()),
+                            pa.array(score, pa.int64()),
+                            pa.array(similarity),
+                        ],
+                        ["doc_id", "item_id", "score", "similarity"],
+                    )
+
+        out = out.union(narrow.mapInArrow(find, schema))
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents into which nothing leaked, with the columns of ``docs``."""
-    return docs.join(leaked(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents into which nothing leaked, with the columns of ``docs``; nothing is shuffled."""
+    out = docs
+    for sent in finders(docs, benchmark, threshold):
+
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                stays[[row for row, *_ in sent.value.leaks(batch)]] = False
+                yield batch.filter(pa.array(stays))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import decontaminate, huffman, licenses, packing, quality, sharding, simhash, toxicity
+from credence.llm import decontaminate, huffman, licenses, packing, pii, quality, sharding, simhash, toxicity
 
 
 def vocabulary() -> str:
@@ -44,6 +44,10 @@ def op6_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
 def op9_minimum_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.pieces(table(spark, sf_dir, "documents"), vocabulary()))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op4_pivot_simhash": op4_pivot_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_quality_ratio": op6_quality_ratio,
+    "op7_semi_markov_pii": op7_semi_markov_pii,
     "op9_minimum_slack": op9_minimum_slack,
     "op10_virtual_slots": op10_virtual_slots,
 }

@@ -182,6 +182,10 @@ def grouped(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one of smallest id, with the columns of ``docs``."""
+    """One document of each group, the one of smallest id, with the columns of ``docs``.
+
+    Of rows that repeat this id one stays. Documents without an id all stay.
+    """
     first = grouped(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).union(docs.where("doc_id is null"))

@@ -41,6 +41,8 @@ FOLDS = 5
 STEM = 4
 RIDGE = 1.0
 SEVERE_TERMS = 4
+#: Probability from which a document counts as toxic.
+THRESHOLD = 0.15
 
 INSULT = ["idiot", "moron", "loser", "clown", "scum"]
 CONTEMPT = ["trash", "pathetic", "worthless", "disgusting", "stupid"]
@@ -173,7 +175,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[Seeds, list[np.ndarray]
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_<category> of every category, and toxic (whether p_toxic is at least one half)."""
+    """doc_id, p_<category> of every category, and toxic (whether p_toxic is at least THRESHOLD)."""
     model = trained(docs, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +191,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     x[a + np.searchsorted(bounds, at, "right") - 1, number] = 1
                 p = chain_probabilities(x, models).round(6)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(p[:, k]) for k in range(len(CHAIN))), pa.array(p[:, CHAIN.index("toxic")] >= 0.5)],
+                [batch.column("doc_id"), *(pa.array(p[:, k]) for k in range(len(CHAIN))), pa.array(p[:, CHAIN.index("toxic")] >= THRESHOLD)],
                 ["doc_id", *(f"p_{c}" for c in CHAIN), "toxic"],
             )
 
