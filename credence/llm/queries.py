@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from credence.llm import decontaminate, huffman, licenses, packing, pii, quality, sharding, simhash, toxicity
+from credence.llm import decontaminate, huffman, licenses, packing, pii, quality, sharding, simhash, suffixes, toxicity
 
 
 def vocabulary() -> str:
@@ -48,6 +49,11 @@ def op7_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(table(spark, sf_dir, "documents"))
 
 
+def op8_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_minimum_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.pieces(table(spark, sf_dir, "documents"), vocabulary()))
 
@@ -64,6 +70,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_quality_ratio": op6_quality_ratio,
     "op7_semi_markov_pii": op7_semi_markov_pii,
+    "op8_prefix_doubling": op8_prefix_doubling,
     "op9_minimum_slack": op9_minimum_slack,
     "op10_virtual_slots": op10_virtual_slots,
 }
