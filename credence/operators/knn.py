@@ -70,7 +70,7 @@ def nearest(
         blocks = -(-rows // BLOCK_ROWS)
         dealt = keys.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
         # every query meets every block once: an exact search can't do less
-        copies = queries.select("id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
+        copies = queries.select("id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
 
         def one_block(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
             return _best(mine["id"], _matrix(mine["embedding"]), theirs["id"].to_numpy(np.int64), _matrix(theirs["embedding"]), k, least)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,21 +33,13 @@ def exact(gold: Column, predicted: Column) -> Column:
     return (normal_answer(gold) == normal_answer(predicted)).cast("double")
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two token arrays.
-
-    A token shared n times by one side and m by the other counts min(n, m):
-    sorted, the k-th occurrence of a token in one side is matched to the k-th
-    in the other.
-    """
+def _overlaps(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([sum((Counter(x) & Counter(y)).values()) for x, y in zip(a, b, strict=True)])
 
-    def numbered(tokens: Column) -> Column:
-        return F.transform(
-            F.array_sort(tokens),
-            lambda t, i: F.struct(t.alias("t"), (i - F.array_position(F.array_sort(tokens), t) + 1).cast("long").alias("k")),
-        )
 
-    return F.size(F.array_intersect(numbered(a), numbered(b)))
+def overlap(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two token arrays; a pass over each in Arrow batches."""
+    return F.pandas_udf(_overlaps, "long")(a, b)
 
 
 def f1(gold: Column, predicted: Column) -> Column:

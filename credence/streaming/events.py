@@ -14,6 +14,7 @@ from credence.operators.audit import audited
 from credence.operators.extraction import beliefs_of
 from credence.operators.graph import belief_edges, new_rows, nodes_of
 from credence.operators.providers import Model
+from credence.session import settled
 from credence.sources.stores import Store
 
 Extractor = Callable[[DataFrame], DataFrame]
@@ -35,23 +36,22 @@ class Pipeline:
         store = self.store
         known = store.vectors("chunk").select(F.col("hash_id").alias("chunk_key"))
         chunks = texts.select(key(CHUNK, F.col("content")).alias("chunk_key"), "content")
-        fresh = new_rows(chunks, known, ["chunk_key"]).persist()
-        stated = beliefs_of(self.extract(fresh)).withColumn("ordinal", F.monotonically_increasing_id()).persist()
+        # everything is settled before the store changes: what is cached over a table is computed anew when it grows
+        fresh = settled(new_rows(chunks, known, ["chunk_key"]))
+        stated = settled(beliefs_of(self.extract(fresh)).withColumn("ordinal", F.monotonically_increasing_id()))
         earlier = store.read("beliefs")
         # a belief is new by its text: another speaker's repetition is not
-        new = new_rows(stated.select(*earlier.columns), earlier, ["prop_key"]).persist()
-        edges = new_rows(belief_edges(stated), store.read("edges"), ["src", "dst"]).persist()
-        nodes = new_rows(nodes_of(edges), store.read("nodes"), ["name"]).persist()
+        new = settled(new_rows(stated.select(*earlier.columns), earlier, ["prop_key"]))
+        edges = settled(new_rows(belief_edges(stated), store.read("edges"), ["src", "dst"]))
+        nodes = settled(new_rows(nodes_of(edges), store.read("nodes"), ["name"]))
         agency = store.read("edges").where("type = 'agency'")
         said = agency.join(earlier, agency["dst"] == earlier["prop_key"]).select(
             F.expr("substring(src, length('entity-') + 1)").alias("agent"), "prop_key", "text"
         )
         empty = store.spark.createDataFrame([], "canonical string, profile array<string>")
-        verdicts, answers = audited(new, said, empty, self.model, store.read("cache"))
-        verdicts = verdicts.persist()
-        result = {"new_beliefs": new, "audits": verdicts}
-        for frame in result.values():
-            frame.count()
+        _, answers = audited(new, said, empty, self.model, store.read("cache"))
+        answers = settled(answers)
+        verdicts = settled(audited(new, said, empty, self.model, store.read("cache").unionByName(answers))[0])
         store.append("cache", answers)
         store.append("beliefs", new)
         store.append("nodes", nodes)
@@ -59,7 +59,7 @@ class Pipeline:
         vectors = fresh.select(F.lit("chunk").alias("namespace"), F.col("chunk_key").alias("hash_id"), "content")
         # chunks come last: an interrupted batch is not known yet and runs again
         store.append("vectors", vectors.withColumn("embedding", F.array().cast("array<double>")))
-        return result
+        return {"new_beliefs": new, "audits": verdicts}
 
     def start(self, texts: DataFrame, checkpoint: str) -> StreamingQuery:
         """Process a stream of texts until what is available is done."""
