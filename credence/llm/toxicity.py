@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.llm.common import bounded_rows, flat_bytes, text_groups
-from credence.llm.hashing import Seeds, stem_hashes, word_hashes
+from credence.llm.hashing import ODD, Seeds, mixed, stem_hashes, word_hashes
 
 #: Labelled documents used for training, at most.
 SAMPLE = 8_000
@@ -170,7 +170,9 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[Seeds, list[np.ndarray]
     targets = np.stack(
         [toxic * (insults > 0), toxic * (contempts > 0), toxic, toxic * (insults + contempts >= SEVERE_TERMS)], axis=1
     )
-    folds = np.arange(len(rows)) % FOLDS
+    # by a hash, so that no order of ids lines up with the folds
+    ids = np.array([r["doc_id"] for r in rows], np.int64).view(np.uint64)
+    folds = mixed(ids * np.uint64(ODD)) % np.uint64(FOLDS)
     return seeds, chained(x, targets, folds)
 
 
