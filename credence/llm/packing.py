@@ -161,14 +161,19 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 bin_, slot = np.divmod(rank[mine] - row[:, 0], row[:, 1])
                 sequence[mine] = row[:, 2] + bin_
                 offset[mine] = row[:, 3] + slot * k
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(sequence), pa.array(offset)],
-                [*names, "sequence_id", "offset"],
+                [
+                    *(batch.column(n) for n in ("doc_id", "piece", "start")),
+                    pa.array(length.astype(np.int64)),
+                    batch.column("ids_crc32"),
+                    pa.array(sequence),
+                    pa.array(offset),
+                ],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
     return narrow.join(first, ["length", "part"]).mapInArrow(
-        place, "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset long"
+        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
 
 
