@@ -62,14 +62,14 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, bounds = stem_hashes(*flat_bytes(batch.column("text").slice(a, b - a)), STEM)
             for k in range(b - a):
                 own = words[bounds[k] : bounds[k + 1]]
-                rows.append(np.unique(own).view(np.int64))
+                rows.append(np.unique(own).astype("<u8").tobytes())
                 for terms, out in zip(lists, hits, strict=True):
                     out.append(int(np.isin(own, terms).sum()))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 batch.column("toxic"),
-                pa.array(rows, pa.list_(pa.int64())),
+                pa.array(rows, pa.binary()),
                 pa.array(hits[0], pa.int64()),
                 pa.array(hits[1], pa.int64()),
             ],
@@ -89,7 +89,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
     # at most ``sample`` rows of 12 bytes
     joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
     found = joined.select("doc_id", F.col("toxic").cast("int"), "text").dropDuplicates(["doc_id"]).mapInArrow(
-        _words, "doc_id long, toxic int, words array<long>, insults long, contempts long"
+        _words, "doc_id long, toxic int, words binary, insults long, contempts long"
     )
     return sorted(bounded_rows(found, sample, "labelled sample"), key=lambda r: r["doc_id"])
 
@@ -141,8 +141,9 @@ def chain_probabilities(x: np.ndarray, models: list[np.ndarray]) -> np.ndarray:
 
 def selected(rows: list, words: int = WORDS, least: float = LEAST_Z) -> np.ndarray:
     """Hashes of the words whose presence differs most between toxic and other documents."""
-    every = np.concatenate([np.array(r["words"], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r["words"]) for r in rows])
+    each = [np.frombuffer(r["words"], "<u8") for r in rows]
+    every = np.concatenate(each)
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in each])
     toxic = np.array([r["toxic"] for r in rows])
     values, place = np.unique(every, return_inverse=True)
     inside = np.bincount(place, weights=toxic[owner], minlength=len(values))
@@ -153,7 +154,7 @@ def selected(rows: list, words: int = WORDS, least: float = LEAST_Z) -> np.ndarr
     z = np.abs(inside / n1 - (both - inside) / (n - n1)) / spread
     z[both < 5] = 0
     order = np.lexsort((values, -z))[:words]
-    return values[order][z[order] >= least].view(np.uint64)
+    return values[order][z[order] >= least]
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> tuple[Seeds, list[np.ndarray]] | None:
@@ -163,7 +164,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[Seeds, list[np.ndarray]
     seeds = Seeds(selected(rows))
     x = np.zeros((len(rows), len(seeds.grams)))
     for k, row in enumerate(rows):
-        x[k, seeds.find(np.array(row["words"], np.int64).view(np.uint64))[1]] = 1
+        x[k, seeds.find(np.frombuffer(row["words"], "<u8"))[1]] = 1
     toxic = np.array([r["toxic"] for r in rows], float)
     insults = np.array([r["insults"] for r in rows])
     contempts = np.array([r["contempts"] for r in rows])
