@@ -48,6 +48,8 @@ GRAM = 32
 WIDTH = LENGTH - GRAM + 1
 #: Window starts handled at once; a longer text goes in overlapping parts.
 PART = 1 << 20
+#: Bytes of texts, and rows, that a task works on at once: some ten numbers of 8 bytes are held for each byte.
+GROUP_BYTES, GROUP_ROWS = 1 << 18, 2048
 #: Spans under one anchor that one task may compare.
 CROWD = 50_000
 #: Bits of the filter on documents that hold repeats; more documents fill it, which costs shuffling only.
@@ -83,37 +85,35 @@ def _longer(a: np.ndarray, size: int, b: np.ndarray, more: int) -> np.ndarray:
     return a[:n] * _power(more) + b[size : size + n]
 
 
-def ranks(data: np.ndarray) -> dict[int, np.ndarray]:
-    """Ranks of all positions by their first 1, 2, 4, ... 64 bytes."""
-    out = {1: BYTE[data]}
-    size = 1
-    while size < 64 and len(data) >= 2 * size:
-        out[2 * size] = _longer(out[size], size, out[size], size)
-        size *= 2
+def ranks(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """Ranks of all positions by their first bytes, for ascending ``sizes`` that are powers of two; only these are held."""
+    out, now, size = [], BYTE[data], 1
+    for wanted in sizes:
+        while size < wanted:
+            now = _longer(now, size, now, size)
+            size *= 2
+        out.append(now)
     return out
 
 
 def window_ranks(data: np.ndarray) -> np.ndarray:
     """Ranks of all positions by their first LENGTH bytes."""
-    found = ranks(data)
-    now, size = found[64], 64
-    for more in (32, 4):
-        now = _longer(now, size, found[more], more)
-        size += more
-    return now
+    four, half, now = ranks(data, (4, 32, 64))
+    now = _longer(now, 64, half, 32)
+    return _longer(now, 96, four, 4)
 
 
 def anchors(data: np.ndarray) -> np.ndarray:
     """For each window of LENGTH bytes, where its anchor is."""
-    low = mixed(ranks(data)[GRAM])
-    place = np.arange(len(low))
+    low = mixed(ranks(data, (GRAM,))[0])
+    place = np.arange(len(low), dtype=np.int32)  # a part has far fewer positions
     size = 1
     while size < WIDTH:
         more = min(size, WIDTH - size)
         a, b = place[: len(place) - more], place[more:]
         place = np.where(low[b] < low[a], b, a)
         size += more
-    return place
+    return place.astype(np.int64)
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +143,7 @@ def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each anchor: g (its rank), s (rank of its span), doc, t, lo (first window) and n (windows)."""
     for batch in batches:
-        for a, b in text_groups(batch.column("text")):
+        for a, b in text_groups(batch.column("text"), GROUP_BYTES):
             doc = batch.column("doc").slice(a, b - a).to_numpy()
             t = batch.column("t").slice(a, b - a).to_numpy()
             for data, bounds, skip in _parts(*flat_bytes(batch.column("text").slice(a, b - a))):
@@ -246,6 +246,12 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, GROUP_ROWS):
+            yield batch.slice(a, GROUP_ROWS)
+
+
 def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """For all windows of the spans of a batch: rank (with the anchor's), row and place in the text."""
     data, offsets = flat_bytes(batch.column("span").cast(pa.large_binary()).view(pa.large_string()))
@@ -290,9 +296,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _listed(doc[order], t[order], at[order])
 
     held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _small(batches):
         g = batch.column("g").to_numpy()
         # all but the last anchor are complete; a batch of one anchor is held
         cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
@@ -309,24 +313,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each window."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, 4096):
-            part = batch.slice(a, 4096)
-            rank, row, at = _windows(part)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rank.view(np.int64)),
-                    part.column("doc").take(pa.array(row)),
-                    part.column("t").take(pa.array(row)),
-                    pa.array(at.astype(np.int32)),
-                ],
-                ["r", "doc", "t", "lo"],
-            )
+    for part in _small(batches):
+        rank, row, at = _windows(part)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(rank.view(np.int64)),
+                part.column("doc").take(pa.array(row)),
+                part.column("t").take(pa.array(row)),
+                pa.array(at.astype(np.int32)),
+            ],
+            ["r", "doc", "t", "lo"],
+        )
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Take the listed windows' bytes out of each text."""
-    for batch in batches:
+    for batch in (whole.slice(a, b - a) for whole in batches for a, b in text_groups(whole.column("text"), GROUP_BYTES)):
         out = []
         for row in range(batch.num_rows):
             data = np.frombuffer(batch.column("text")[row].as_buffer(), np.uint8)
