@@ -29,12 +29,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = FOLD) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of consecutive texts, and where each text's words begin among them.
 
-    A word's hash is a polynomial in its bytes. Words end with their text.
+    A word's hash is a polynomial in its bytes as ``fold`` maps them. Words end with their text.
     """
-    folded = FOLD[data]
+    folded = fold[data]
     inside = folded != 0
     start = inside.copy()
     start[1:] &= ~inside[:-1]
