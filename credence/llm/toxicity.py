@@ -8,8 +8,8 @@ so a later model learns from what an earlier one says about unseen documents.
 The labels tell only whether a document is toxic. The other categories are
 that label together with what the text holds: named terms of insult or of
 contempt, or at least SEVERE_TERMS terms. The words that the models see are
-not given: they are those whose presence differs most between toxic and other
-labelled documents.
+not given: they are all whose presence differs significantly between toxic and
+other labelled documents.
 
 Training uses at most SAMPLE labelled documents, those of smallest id hash;
 all documents are scored whole. Defined results: null and empty texts have no
@@ -33,8 +33,7 @@ from credence.llm.hashing import ODD, Seeds, mixed, stem_hashes, word_hashes
 
 #: Labelled documents used for training, at most.
 SAMPLE = 8_000
-#: Words that the models see, at most, and the least z-score of the difference that admits one.
-WORDS = 64
+#: The least z-score of the difference that admits a word; all that reach it are seen.
 LEAST_Z = 6.0
 FOLDS = 5
 #: Words are seen whole and by their first bytes, which inflected forms share.
@@ -139,8 +138,8 @@ def chain_probabilities(x: np.ndarray, models: list[np.ndarray]) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def selected(rows: list, words: int = WORDS, least: float = LEAST_Z) -> np.ndarray:
-    """Hashes of the words whose presence differs most between toxic and other documents."""
+def selected(rows: list, least: float = LEAST_Z) -> np.ndarray:
+    """Hashes of the words whose presence differs between toxic and other documents by ``least`` or more."""
     each = [np.frombuffer(r["words"], "<u8") for r in rows]
     every = np.concatenate(each)
     owner = np.repeat(np.arange(len(rows)), [len(x) for x in each])
@@ -153,8 +152,7 @@ def selected(rows: list, words: int = WORDS, least: float = LEAST_Z) -> np.ndarr
     spread = np.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1))) + 1e-12
     z = np.abs(inside / n1 - (both - inside) / (n - n1)) / spread
     z[both < 5] = 0
-    order = np.lexsort((values, -z))[:words]
-    return values[order][z[order] >= least]
+    return values[z >= least]
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> tuple[Seeds, list[np.ndarray]] | None:
@@ -183,16 +181,15 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if model is None:
-                p = np.zeros((batch.num_rows, len(CHAIN)))
-            else:
+            p = np.zeros((batch.num_rows, len(CHAIN)))
+            if model is not None:
                 seeds, models = model
-                x = np.zeros((batch.num_rows, len(seeds.grams)))
                 for a, b in text_groups(batch.column("text")):
                     words, bounds = stem_hashes(*flat_bytes(batch.column("text").slice(a, b - a)), STEM)
                     at, number = seeds.find(words)
-                    x[a + np.searchsorted(bounds, at, "right") - 1, number] = 1
-                p = chain_probabilities(x, models).round(6)
+                    x = np.zeros((b - a, len(seeds.grams)))
+                    x[np.searchsorted(bounds, at, "right") - 1, number] = 1
+                    p[a:b] = chain_probabilities(x, models).round(6)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(p[:, k]) for k in range(len(CHAIN))), pa.array(p[:, CHAIN.index("toxic")] >= THRESHOLD)],
                 ["doc_id", *(f"p_{c}" for c in CHAIN), "toxic"],

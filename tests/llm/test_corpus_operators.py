@@ -87,6 +87,15 @@ def test_chain_learns_held_out_terms(spark, nothing, labels):
     assert toxicity.scored(nothing, labels).count() == 0
 
 
+def test_every_significant_word_is_seen():
+    rows = []
+    for k in range(900):
+        # each of 100 words is in a tenth of the toxic documents
+        own = [toxicity._hash(f"word{(k // 3 + j) % 100}") for j in range(10)] if k % 3 == 0 else []
+        rows.append({"toxic": int(k % 3 == 0), "words": np.array(sorted({*own, 1}), "<u8").tobytes()})
+    assert len(toxicity.selected(rows)) == 100
+
+
 def test_chain_on_awkward_rows(docs, labels):
     assert toxicity.scored(docs, labels).count() == len(ROWS)
     none = toxicity.scored(docs, labels.where("toxic = 0")).collect()
