@@ -389,10 +389,13 @@ def passages(text: str) -> Iterator[list[Token]]:
     hit = TRIGGER.search(text)
     while hit:
         start = hit.start()
-        for _ in range(MARGIN + 1):  # back over a few tokens, within a bounded stretch
-            start = max(text.rfind(" ", max(0, start - 64), start), text.rfind("\n", max(0, start - 64), start), 0)
-            if not start:
-                break
+        # back to the beginning of the hit's token, and over MARGIN tokens before it. After a
+        # passage come more quiet tokens than that, so no token is gone over more than twice
+        for k in range(MARGIN + 1):
+            while k and start and text[start - 1].isspace():
+                start -= 1
+            while start and not text[start - 1].isspace():
+                start -= 1
         held, quiet, live, end = [], 0, False, len(text)
         for m in TOKEN.finditer(text, start):
             held.append(m.span())
