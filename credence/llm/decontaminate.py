@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of ASCII letters and digits and of bytes above 127, with A-Z
-lower-cased. The n-grams of every benchmark item are counted over all training
+Words are runs of ASCII letters and digits and of bytes above 127, after full
+Unicode case folding in normal form C. The n-grams of every benchmark item are counted over all training
 documents (in how many they occur). An item's seeds are its n-grams that are
 no commoner than RARE times its median n-gram, or than a share RARE_SHARE of
 the documents; every item keeps at least half of its n-grams. Each place in a
@@ -19,6 +19,7 @@ rows give a row each; empty tables give no rows; other columns are not read.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,16 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 1 << 21
 
 
+def folded(column: pa.Array) -> pa.Array:
+    """The texts by full Unicode case folding, in normal form C; ASCII texts stay, as word hashes fold them."""
+    out = []
+    for text in column.to_pylist():
+        if text is not None and not text.isascii():
+            text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+        out.append(text)
+    return pa.array(out, pa.large_string())
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> int:
     """Best local alignment score of two word sequences; gaps cost GAP a word."""
     width = len(passage)
@@ -59,7 +70,7 @@ def items_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[l
     """Blocks of (item_id, word hashes) of bounded size."""
     block, held = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        words, _ = word_hashes(*flat_bytes(pa.array([row["text"] or ""])))
+        words, _ = word_hashes(*flat_bytes(folded(pa.array([row["text"] or ""]))))
         if len(words):
             block.append((row["item_id"], words))
             held += len(words)
@@ -77,7 +88,7 @@ def _scan(batch: pa.RecordBatch, seeds: Seeds, short: int) -> Iterator[tuple]:
     stand for items that are no longer.
     """
     for a, b in text_groups(batch.column("text")):
-        words, bounds = word_hashes(*flat_bytes(batch.column("text").slice(a, b - a)))
+        words, bounds = word_hashes(*flat_bytes(folded(batch.column("text").slice(a, b - a))))
         places, numbers = [], []
         for n in range(short, NGRAM + 1):
             at, number = seeds.find(gram_hashes(words, n))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -274,6 +275,18 @@ def test_leaks_whole_edited_and_none(spark, nothing, docs, benchmark):
     assert decontaminate.leaked(docs, benchmark.where("false")).count() == 0
 
 
+def test_upper_case_and_decomposed_letters_leak(spark):
+    item = "Über größere Straßen läuft Çelik früh zurück, où l'été déjà s'achève après señales mañana así también"
+    plain = "STRASSE " * 3 + "quite other words that have nothing to do with any of the items at all"
+    rows = [(1, f"vor {item.upper()} nach"), (2, f"vor {unicodedata.normalize('NFD', item)} nach"), (3, plain), (4, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for text in (item, item.upper(), unicodedata.normalize("NFD", item)):
+        items = spark.createDataFrame([(7, text)], "item_id long, text string")
+        got = {(r["doc_id"], r["item_id"], r["similarity"]) for r in decontaminate.leaked(docs, items).collect()}
+        assert got == {(1, 7, 1.0), (2, 7, 1.0), (4, 7, 1.0)}
+        assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [3]
+
+
 def test_blocks_of_items(benchmark):
     assert [len(b) for b in decontaminate.items_of(benchmark, 5)] == [1, 1]
 
