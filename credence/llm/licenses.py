@@ -1,6 +1,6 @@
 """Licence scans by canonical digest, native Spark SQL only.
 
-A text is brought into a canonical form: lower case, copyright lines removed,
+A text is brought into a canonical form: lower case, copyright notices removed,
 punctuation and white space to single spaces, equivalent spellings to one of
 them. The SHA-256 of the form of the entire text is joined to the digests of
 known licences, which are made by the same expression. Lines that speak of a
@@ -140,6 +140,14 @@ KNOWN = [
     ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
 
+#: Copyright notices: not lines of licence text that happen to begin with the word, whatever the wrap.
+NO_NOTICE = (
+    "(?![a-z,;.)])(?![ \\t]*(\\r?\\n|$))"
+    "(?![ \\t]+((holder|owner|notice|licen[cs]e|law|statement|interest|permission|disclaimer|right)s?"
+    "|treaty|treaties|protection|and|or|in|of|to|for|is)\\b)"
+)
+NOTICE_LINE = f"(^|\\n)[ \\t*/#;>-]*(copyright{NO_NOTICE}|\\(c\\)|©|all rights reserved)[^\\n]*"
+#: As the SQL has it: any line that begins with the word.
 COPYRIGHT_LINE = "(^|\\n)[ \\t*/#;>-]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*"
 SPEAKS = "(?i)licen[cs]|spdx"
 
@@ -147,7 +155,7 @@ SPEAKS = "(?i)licen[cs]|spdx"
 def canonical(text: Column) -> Column:
     out = F.lower(F.coalesce(text, F.lit("")))
     # a line feed stays before each removed line, so the next may match too
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
+    out = F.regexp_replace(out, NOTICE_LINE, "$1")
     out = F.regexp_replace(out, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")
     out = F.concat(F.lit(" "), F.trim(out), F.lit(" "))
     for word, same in SAME_WORDS:
@@ -194,7 +202,10 @@ def _canonical_sql(text: str) -> str:
 
 
 def scan_sql() -> str:
-    """The same result as ``scanned`` over the view ``documents``."""
+    """The same result as ``scanned`` over the view ``documents``, but where licence text has a line that begins with "copyright".
+
+    The SQL removes such lines too.
+    """
     values = ", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in KNOWN)
     return f"""
 WITH known AS (

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -68,6 +69,19 @@ def test_licences(spark, docs, nothing):
     assert licenses.scanned(nothing).count() == 0
 
 
+def test_licences_in_every_wrap(spark):
+    notices = ["", "Copyright (c) 2020 A. Body\n\n", "Copyright 2020 Intel\nAll rights reserved.\n", " * Copyright Oracle and others\n", "© 2020 A. Body\n"]
+    rows = []
+    for name, text in licenses.KNOWN:
+        words = text.split()
+        rows.append((name, " ".join(words)))
+        for width in (1, *range(20, 101)):
+            rows.append((name, notices[width % len(notices)] + "\n".join(textwrap.wrap(" ".join(words), width, break_long_words=False, break_on_hyphens=False))))
+    docs = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scanned(docs).collect()}
+    assert [(k, rows[k]) for k in got if got[k] != rows[k][0]] == []
+
+
 # ---------------------------------------------------------------- 2
 def test_chain_learns_held_out_terms(spark, nothing, labels):
     rng = random.Random(3)
