@@ -8,8 +8,11 @@ dynamic programming over the spans of a passage chooses boundaries and types
 jointly. Spans of the base stay, and added spans never touch them.
 
 The model is trained here, by maximum likelihood, on generated sentences with
-known spans. It reads the passages around digits, @, = and spelt-out dots;
-elsewhere there is nothing that its features could score.
+known spans. It reads the passages around digits, @, =, spelt-out dots, cue
+words with a colon and key prefixes; elsewhere there is nothing that its
+features could score. A passage of more than PIECE tokens is decoded in pieces
+that overlap, so memory is bounded; in the middle of an overlap the labels no
+longer depend on where a piece begins.
 
 Positions are code points, ends exclusive. Defined results: a null or empty
 text has no spans and stays as it is; repeated rows each get their row; an
@@ -19,8 +22,10 @@ keeps all columns.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -108,8 +113,11 @@ WORDS_BEFORE = {
 }
 OCTETS = re.compile(r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}")
 SIX = re.compile(r"(?:[0-9a-fA-F]{0,4}:){3,7}[0-9a-fA-F]{1,4}")
-MAIL = re.compile(r"\S+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-SPELT_MAIL = re.compile(r"[a-z0-9._-]+ ?[\[(]?(?:at|@)[\])]? ?[a-z0-9-]+(?: ?[\[(]?dot[\])]? ?[a-z]+)+", re.I)
+MAIL = re.compile(r"[^\s@]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+# between the parts stands a space or a bracket, which no part holds, so each part ends in one place only
+SPELT_MAIL = re.compile(
+    r"[a-z0-9._-]++(?:@| (?:at|@) | ?[\[(](?:at|@)[\])] ?)[a-z0-9-]++(?:(?: dot | ?[\[(]dot[\])] ?)[a-z]++)++", re.I
+)
 AREA = re.compile(r"\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}")
 QUADS = re.compile(r"\d{4}([ .-]?)\d{4}\1\d{4}\1\d{1,7}")
 ACCESS = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}")
@@ -306,11 +314,12 @@ def _entity(rng: random.Random) -> tuple[str, str]:
     host = _filler(rng).strip(",.;").lower()
     kind = rng.choice(KINDS)
     forms = {
-        "email": [f"{name}.{d(2)}@{host}.com", f"{name}@{host}.example.org", f"{name} [at] {host} [dot] com", f"{name} at {host} dot org"],
+        "email": [f"{name}.{d(2)}@{host}.com", f"{name}@{host}.example.org", f"{name} [at] {host} [dot] com", f"{name} at {host} dot org", f"{name} AT {host} DOT com"],
         "ip": [".".join(str(rng.randint(0, 255)) for _ in range(4)), ":".join(h(4) for _ in range(8))],
         "card": [_card(rng)],
         "phone": [f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(7)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}"],
-        "secret": [f"AKIA{upper(16)}", f"password={h(18)}", f"passwd={h(12)}", f'"{h(40)}"', h(40), f"ghp_{upper(20)}", f"secret={h(16)}"],
+        "secret": [f"AKIA{upper(16)}", f"password={h(18)}", f"passwd={h(12)}", f'"{h(40)}"', h(40), f"ghp_{upper(20)}", f"secret={h(16)}",
+                   f"password: {name}{host}word", f"token: {h(16)}", f"sk-{name}{host}wordsandmore"],
     }
     return kind, rng.choice(forms[kind])
 
@@ -376,10 +385,14 @@ def model(sentences: int = SENTENCES, epochs: int = EPOCHS, seed: int = SEED) ->
 
 
 # ---------------------------------------------------------------- reading documents
-TRIGGER = re.compile(r"[0-9@=]|[\[( ]dot[\]) ]")
+CUES = r"(?:password|passwd|pwd|secret|token|api_?key)[ \t]?:|(?:gh[pousr]_|sk-|xox[abp]-)[a-z_-]{16}"
+SPELT = r"[\[( ]dot[\]) ]"
+TRIGGER = re.compile(f"[0-9@=]|(?i:{SPELT}|{CUES})")
 SIGNS = np.zeros(256, bool)
 SIGNS[[*range(0x30, 0x3A), 0x40, 0x3D, 0x2B]] = True
 MARGIN = 3
+#: Tokens decoded at once, and by how many two such pieces of a longer passage overlap.
+PIECE, OVERLAP = 2048, 64
 
 
 def passages(text: str) -> Iterator[list[Token]]:
@@ -399,7 +412,7 @@ def passages(text: str) -> Iterator[list[Token]]:
         held, quiet, live, end = [], 0, False, len(text)
         for m in TOKEN.finditer(text, start):
             held.append(m.span())
-            if TRIGGER.search(text, max(0, m.start() - 1), min(len(text), m.end() + 1)):
+            if TRIGGER.search(text, max(0, m.start() - 1), min(len(text), m.end() + 2)):
                 quiet, live = 0, True
             elif live:
                 quiet += 1
@@ -410,18 +423,41 @@ def passages(text: str) -> Iterator[list[Token]]:
         hit = TRIGGER.search(text, max(end, hit.end()))
 
 
+def _pieces(tokens: list[Token]) -> Iterator[tuple[list[Token], int, int]]:
+    """A passage in pieces of bounded size: tokens, and the first and the end of those whose spans count."""
+    at = 0
+    while True:
+        part = tokens[at : at + PIECE]
+        last = at + PIECE >= len(tokens)
+        yield part, OVERLAP // 2 if at else 0, len(part) if last else PIECE - OVERLAP // 2
+        if last:
+            return
+        at += PIECE - OVERLAP
+
+
+def modelled(text: str, tokens: list[Token], weights: np.ndarray, moves: np.ndarray) -> Iterator[tuple[int, int, str]]:
+    """The spans that the model finds in a passage, in order of their start."""
+    for part, low, high in _pieces(tokens):
+        features = segment_features(text, part)
+        cores = _cores(text, part)
+        for i, count, label in decoded(features, len(part), weights, moves):
+            if label and low <= i < high:
+                yield cores[i][0], cores[i + count - 1][1], LABELS[label]
+
+
 def all_spans(text: str, weights: np.ndarray, moves: np.ndarray) -> tuple[list, list]:
     """The base spans, and all spans: the base and those the model adds."""
     base = base_spans(text)
-    added = []
+    starts = [a for a, _, _ in base]
+    # how far the spans up to each one reach
+    reach = list(itertools.accumulate((b for _, b, _ in base), max))
+    added, done = [], 0
     for tokens in passages(text):
-        features = segment_features(text, tokens)
-        cores = _cores(text, tokens)
-        for i, count, label in decoded(features, len(tokens), weights, moves):
-            if label:
-                a, b = cores[i][0], cores[i + count - 1][1]
-                if not any(a < y and x < b for x, y, _ in (*base, *added)):
-                    added.append((a, b, LABELS[label]))
+        for a, b, kind in modelled(text, tokens, weights, moves):
+            before = bisect.bisect_left(starts, b)
+            if a >= done and (not before or reach[before - 1] <= a):
+                added.append((a, b, kind))
+                done = b
     return base, sorted((*base, *added), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -432,7 +468,7 @@ def _spelled(spans: list[tuple[int, int, str]]) -> str:
 def _each(batch: pa.RecordBatch, weights: np.ndarray, moves: np.ndarray) -> Iterator[tuple[str | None, list, list]]:
     """Text, base spans and all spans of each row; rows without any sign are not searched."""
     column = batch.column("text")
-    spelt = pc.fill_null(pc.match_substring_regex(column, "[\\[( ]dot[\\]) ]"), False)
+    spelt = pc.fill_null(pc.match_substring_regex(column, f"(?i)(?:{SPELT}|{CUES})"), False)
     for a, b in text_groups(column):
         data, offsets = flat_bytes(column.slice(a, b - a))
         marks = np.concatenate(([0], np.cumsum(SIGNS[data])))

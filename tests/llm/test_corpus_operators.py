@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -581,3 +582,51 @@ def test_maps_are_edited_not_remade():
     moved = [(a, b) for a, b in zip(second, third, strict=True) if a != b]
     assert moved
     assert all(b == 8 for _, b in moved)
+
+
+# ---------------------------------------------------------------- 7, crafted texts
+def took(text):
+    began = time.process_time()
+    spans = pii.all_spans(text, *pii.model())[1]
+    return time.process_time() - began, spans
+
+
+def test_crafted_texts_take_linear_time():
+    pii.model()
+    assert took("a@b" + "dota" * 2_000 + "1")[0] < 2
+    assert took("a at b" + " dot a" * 2_000 + " 1")[0] < 20
+    assert took("@" * 50_000 + " 1")[0] < 2
+    secrets = " ".join(f"then go on password=abcdef{k:06d}" for k in range(8_000))
+    half, whole = took(secrets[: len(secrets) // 2]), took(secrets)
+    assert len(whole[1]) >= 7_990
+    assert whole[0] < 3 * half[0] + 1
+
+
+def test_secrets_after_gaps_of_any_length():
+    for n in (10, 64, 65, 500):
+        for gap in ("x" * n, "\t" * n, "x\t" * n):
+            text = f"room 12 is open now and then we go far away {gap} password=abcdef123456 ok"
+            assert any(kind == "secret" and text[a:b].endswith("abcdef123456") for a, b, kind in took(text)[1]), gap
+
+
+def test_secrets_without_digits():
+    for text in ("say password: correcthorsebattery now", "use ghp_abcdefghijklmnopqrst as it is", "mail ann AT host DOT com please"):
+        assert took(text)[1], text
+
+
+def test_passages_and_pieces_equal_whole_texts(monkeypatch):
+    weights, moves = pii.model()
+    rng = random.Random(41)
+    texts = []
+    for _ in range(60):
+        quiet = " ".join(pii._filler(rng) for _ in range(rng.randint(0, 12)))
+        texts.append(" ".join(f"{pii.sentence(rng)[0]} {quiet}" for _ in range(4)))
+
+    def added(text, passages):
+        return [s for p in passages for s in pii.modelled(text, p, weights, moves)]
+
+    whole = {t: added(t, [[m.span() for m in pii.TOKEN.finditer(t)]]) for t in texts}
+    assert [t for t in texts if added(t, pii.passages(t)) != whole[t]] == []
+    monkeypatch.setattr(pii, "PIECE", 30)
+    monkeypatch.setattr(pii, "OVERLAP", 20)
+    assert [t for t in texts if added(t, [[m.span() for m in pii.TOKEN.finditer(t)]]) != whole[t]] == []
