@@ -1,6 +1,7 @@
 """Each corpus operator on awkward rows, on an empty table, and against a brute-force version."""
 
 import hashlib
+import os
 import random
 import re
 import textwrap
@@ -83,6 +84,45 @@ def test_licences_in_every_wrap(spark):
     assert [(k, rows[k]) for k in got if got[k] != rows[k][0]] == []
 
 
+PUBLISHED = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(PUBLISHED), reason="no published licence texts")
+def test_published_licences_in_every_wrap(spark):
+    ids = {"Apache-2.0": "Apache-2.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0-Perl"}
+    ids |= {f"GPL-{v}": f"GPL-{v}.0-only" for v in "123"} | {"LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only"}
+    rows = []
+    for name, known in ids.items():
+        with open(f"{PUBLISHED}/{name}", encoding="utf8") as f:
+            whole = f.read()
+        rows += [(known, whole), (known, " ".join(whole.split()))]
+        for width in (60, 72, 78, 100):
+            paragraphs = [textwrap.wrap(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in re.split(r"\n[ \t]*\n", whole)]
+            rows.append((known, "Copyright (c) 2021 Some Body\n\n" + "\n\n".join("\n".join(p) for p in paragraphs)))
+    docs = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scanned(docs).collect()}
+    assert [(k, rows[k][0]) for k in got if got[k] != rows[k][0]] == []
+
+
+def test_canonical_form(spark):
+    same = [
+        ("a licence licence licence to sub license", "A license, license; LICENSE to sublicense"),
+        ("text\nCopyright 2001-2003 Some Body\nmore", "text\nmore"),
+        ("(c) You must retain the notices", "c you must retain the notices"),
+        ("the\ncopyright holders be liable", "the copyright holders be liable"),
+        ("the\nCOPYRIGHT HOLDERS BE LIABLE", "the copyright holders be liable"),
+        ("Copyright Oracle and others\n\nbody", "body"),
+    ]
+    rows = spark.createDataFrame(same, "a string, b string")
+    assert rows.where(licenses.digest(F.col("a")) != licenses.digest(F.col("b"))).collect() == []
+
+
+def test_a_table_of_own_licences(spark, docs):
+    own = spark.createDataFrame([("House", "You may read this licence."), ("House", "you may READ this license")], "license_id string, text string")
+    rows = spark.createDataFrame([(1, "You may read\nthis Licence!"), (2, licenses.MIT)], "doc_id long, text string")
+    assert {r["doc_id"]: r["license_id"] for r in licenses.scanned(rows, own).collect()} == {1: "House", 2: None}
+
+
 # ---------------------------------------------------------------- 2
 def test_chain_learns_held_out_terms(spark, nothing, labels):
     rng = random.Random(3)
