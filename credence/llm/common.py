@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in groups of about this many bytes, so that a
 #: task's memory follows its longest text and not its Arrow batch.
@@ -55,6 +56,18 @@ def drop(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_hash() -> Column:
+    """A hash of the text, by which rows of equal id are told apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents listed in ``kept`` (doc_id, t: the hash of the text), one row each, and those without an id."""
+    marks = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_hash().alias("_t"))
+    chosen = marks.where("_id is not null").join(kept.toDF("_id", "_t"), ["_id", "_t"], "left_semi").dropDuplicates(["_id", "_t"])
+    return chosen.select("_row.*").union(docs.where("doc_id is null"))
+
+
 def text_groups(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) of a string column that hold about ``limit`` bytes each."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)

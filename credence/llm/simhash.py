@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import written
+from credence.llm.common import only, text_hash, written
 from credence.llm.components import components
 
 SHINGLE = 3
@@ -78,7 +78,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         texts = batch.column("text").cast(pa.large_binary())
         found = [fingerprint(x.as_py() or b"") for x in texts]
         values = np.array(found, np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "fp"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(values)], [*kept, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -92,33 +93,42 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def _distance(fp: Column, reference: int) -> Column:
+    return F.bit_count(fp.bitwiseXOR(F.lit(_signed(reference))))
+
+
+#: The copies of the base: each differs from it in one pair of bits.
+COPIES = [BASE ^ (3 << 2 * j) for j in range(32)]
+
+
 def pair_profile(fp: Column) -> Column:
-    """Distances within each pair of bits, 32 fields of two bits.
+    """Distances within each pair of bits, 32 fields of two bits, from the table of distances to the copies.
 
     Field j is (d(x, base) - d(x, copy j) + 2) / 2, the number of the pair's
-    two bits in which x differs from the base; all 32 are added at once.
+    two bits in which x differs from the base.
     """
-    away = fp.bitwiseXOR(F.lit(_signed(BASE)))
-    ones = F.lit(0x5555555555555555)
-    low, high = away.bitwiseAND(ones), F.shiftrightunsigned(away, 1).bitwiseAND(ones)
-    return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))
+    base = _distance(fp, BASE)
+    out = F.lit(0).cast("long")
+    for j, copy in enumerate(COPIES):
+        field = F.shiftright(base - _distance(fp, copy) + 2, 1).cast("long")
+        out = out.bitwiseOR(F.shiftleft(field, 2 * j))
+    return out
 
 
 def scattered_profile(fp: Column) -> Column:
     """Distances to the eight scattered references, a byte each."""
     out = F.lit(0).cast("long")
     for k, pivot in enumerate(SCATTERED):
-        distance = F.bit_count(fp.bitwiseXOR(F.lit(_signed(pivot)))).cast("long")
-        out = out.bitwiseOR(F.shiftleft(distance, 8 * k))
+        out = out.bitwiseOR(F.shiftleft(_distance(fp, pivot).cast("long"), 8 * k))
     return out
 
 
-def _within(a: str, b: str) -> Column:
-    """No distance to a scattered reference differs by more than DISTANCE."""
+def within(one: Column, other: Column, radius: int) -> Column:
+    """Whether the largest coordinate difference of two scattered profiles is at most ``radius``."""
     out = F.lit(True)
     for k in range(len(SCATTERED)):
-        one, other = (F.shiftrightunsigned(F.col(x), 8 * k).bitwiseAND(F.lit(255)) for x in (a, b))
-        out = out & (F.abs(one - other) <= DISTANCE)
+        a, b = (F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) for x in (one, other))
+        out = out & (F.abs(a - b) <= radius)
     return out
 
 
@@ -151,7 +161,7 @@ def links(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
         (a["choice"] == b["choice"])
         & (a["key"] == b["key"])
         & (F.col("fp_a") < F.col("fp_b"))
-        & _within("far_a", "far_b")
+        & within(F.col("far_a"), F.col("far_b"), DISTANCE)
         & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= DISTANCE),
     ).select("a", "b")
 
@@ -181,11 +191,16 @@ def grouped(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     )
 
 
-def survivors(docs: DataFrame) -> DataFrame:
+def survivors(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """One document of each group, the one of smallest id, with the columns of ``docs``.
 
-    Of rows that repeat this id one stays. Documents without an id all stay.
+    Rows equal in id and text are one document, of which one row stays; rows of
+    equal id and other texts are different documents. Documents without an id all stay.
     """
-    first = grouped(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = written(rows.select("doc_id", text_hash().alias("t"), "text").mapInArrow(_fingerprints, "doc_id long, t long, fp long"))
+    classes = written(found.groupBy("fp").agg(F.min(F.struct("doc_id", "t")).alias("first")))
+    # classes are linked by their fingerprints, as one id may have several
+    lower = components(links(classes.select("fp", F.col("fp").alias("rep")), crowd))
+    groups = classes.join(lower, classes["fp"] == lower["node"], "left").groupBy(F.coalesce("low", "fp"))
+    return only(docs, groups.agg(F.min("first").alias("first")).select("first.*"))

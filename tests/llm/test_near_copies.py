@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from credence.llm import nearcopies
+from credence.llm import nearcopies, simhash
 
 
 def jaccard(one, other):
@@ -22,8 +22,9 @@ def edited(rng, text, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("crowd", [64, 3])
-def test_survivors_equal_all_pairs(spark, crowd):
+@pytest.mark.parametrize("salts", [64, 1])
+def test_survivors_equal_all_pairs(spark, salts, monkeypatch):
+    monkeypatch.setattr(nearcopies, "SALTS", salts)
     rng = random.Random(5)
     rows = []
     for _ in range(12):
@@ -39,7 +40,7 @@ def test_survivors_equal_all_pairs(spark, crowd):
                 low, high = sorted((group[a], group[b]))
                 group = [low if g == high else g for g in group]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
-    got = [r["doc_id"] for r in nearcopies.survivors(docs, crowd).collect()]
+    got = [r["doc_id"] for r in nearcopies.survivors(docs).collect()]
     assert sorted(got) == sorted(set(group))
 
 
@@ -55,3 +56,33 @@ def test_stage_drops_a_copy_at_nine_tenths(spark):
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "5", "None"]
+
+
+def test_a_chain_is_one_group_and_families_stay_apart(spark):
+    """Neighbours of a chain are near copies and its ends are not; a second family shares words with it."""
+    rng = random.Random(9)
+    texts, text = [], " ".join(f"w{rng.randint(0, 5000)}" for _ in range(120))
+    for _ in range(12):
+        texts.append(text)
+        text = edited(rng, text, 2)
+    half = " ".join(texts[0].split()[:60])
+    texts += [f"{half} " + " ".join(f"v{rng.randint(0, 5000)}" for _ in range(60)) for _ in range(3)]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if group[a] != group[b] and jaccard(texts[a], texts[b]) >= nearcopies.SIMILAR:
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in nearcopies.survivors(docs).collect()) == sorted(set(group))
+
+
+@pytest.mark.parametrize("survivors", [nearcopies.survivors, simhash.survivors])
+def test_equal_ids_of_other_texts_and_repeated_rows(spark, survivors):
+    rng = random.Random(10)
+    prose = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(80)) for _ in range(3)]
+    rows = [(1, prose[0], "a"), (1, prose[1], "b"), (2, prose[1], "c"), (3, prose[2], "d"), (3, prose[2], "d"), (None, prose[2], "e"), (None, None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t string")
+    got = sorted((str(r["doc_id"]), r["text"] or "", r["t"]) for r in survivors(docs).collect())
+    assert got == sorted([("1", prose[0], "a"), ("1", prose[1], "b"), ("3", prose[2], "d"), ("None", prose[2], "e"), ("None", "", "f")])
+    assert survivors(docs.where("false")).count() == 0
