@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ BLOCK = 512
 #: Ids after which a segment ends with the document at hand.
 SEGMENT = 1 << 18
 #: Ids of a file, on average.
-FILE_IDS = 1 << 23
+FILE_IDS = 1 << 25
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
@@ -212,70 +213,54 @@ def unpack(data: np.ndarray, points: np.ndarray, counts: np.ndarray, table: np.n
 
 
 def write_files(ids: DataFrame, lengths: np.ndarray, files: int) -> DataFrame:
-    """Encode and write all documents in ascending doc_id order; returns the table of segments."""
+    """Encode and write all documents in ascending doc_id order; returns the table of segments.
+
+    Documents are dealt to files by range, rows of one id by their ids too, so
+    a file is one task's work and files are of like numbers of documents.
+    """
     kind = id_type(len(lengths))
     words = canonical(lengths)
-    steps = [k / files for k in range(1, files)]
-    cuts = ids.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, steps)), 10_000)).first()[0] if steps else []
-    cuts = np.array(cuts or [], np.int64)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in text_groups(batch.column("ids")):
-                part = batch.slice(a, b - a)
-                size = part.column("n").to_numpy()
-                raw = _values(part.column("ids"), kind)
-                data, octets, points, blocks = pack(raw, size, lengths, words)
-                doc = part.column("doc_id")
-                where = np.searchsorted(cuts, np.asarray(doc.fill_null(-(1 << 63))), "left")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(where.astype(np.int32)),
-                        doc,
-                        part.column("n"),
-                        _binary(data, octets),
-                        _binary(points.astype("<u4"), blocks * 4),
-                    ],
-                    ["part", "doc_id", "n", "bits", "points"],
-                )
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        number: dict[int, int] = {}
+        part = TaskContext.get().partitionId()
+        held: list[tuple] = []
+        number = total = 0
 
-        def close(part: int) -> pa.RecordBatch:
-            docs, sizes, bits, points = zip(*held.pop(part), strict=True)
+        def close() -> pa.RecordBatch:
+            docs, sizes, bits, points = zip(*held, strict=True)
             starts = np.cumsum([0, *map(len, bits)]) * 8
-            moved = [np.frombuffer(p, "<u4").astype("<i8") + s for p, s in zip(points, starts, strict=False)]
-            k = number[part] = number.get(part, -1) + 1
+            moved = [p + s for p, s in zip(points, starts, strict=False)]
             return pa.RecordBatch.from_pydict(
                 {
                     "part": pa.array([part], pa.int32()),
-                    "segment": pa.array([k], pa.int64()),
+                    "segment": pa.array([number], pa.int64()),
                     "n": pa.array([sum(sizes)], pa.int64()),
                     "doc_ids": pa.array([docs], pa.list_(pa.int64())),
                     "sizes": pa.array([sizes], pa.list_(pa.int64())),
                     "bits": pa.array([b"".join(bits)], pa.binary()),
-                    "checkpoints": pa.array([np.concatenate(moved).tobytes()], pa.binary()),
+                    "checkpoints": pa.array([np.concatenate(moved).astype("<i8").tobytes()], pa.binary()),
                 }
             )
 
-        full: dict[int, int] = {}
         for batch in batches:
-            for part, doc, n, bits, points in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                for other in [p for p in held if p < part]:
-                    yield close(other)
-                    full.pop(other)
-                held.setdefault(part, []).append((doc, n, bits, points))
-                full[part] = full.get(part, 0) + n
-                if full[part] >= SEGMENT:
-                    yield close(part)
-                    full.pop(part)
-        for part in sorted(held):
-            yield close(part)
-
-    coded = ids.mapInArrow(encode, "part int, doc_id long, n long, bits binary, points binary")
-    dealt = coded.repartition(files, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n")
+            for a, b in text_groups(batch.column("ids")):
+                docs, sizes = batch.column("doc_id").slice(a, b - a).to_pylist(), batch.column("n").slice(a, b - a).to_numpy()
+                raw = _values(batch.column("ids").slice(a, b - a), kind)
+                data, octets, points, blocks = pack(raw, sizes, lengths, words)
+                ends, last = np.cumsum(octets), np.cumsum(blocks)
+                for k, doc in enumerate(docs):
+                    bits = data[ends[k] - octets[k] : ends[k]].tobytes()
+                    held.append((doc, int(sizes[k]), bits, points[last[k] - blocks[k] : last[k]]))
+                    total += int(sizes[k])
+                    if total >= SEGMENT:
+                        yield close()
+                        held.clear()
+                        number, total = number + 1, 0
+        if held:
+            yield close()
+
+    order = [F.col("doc_id").asc_nulls_first(), F.col("n").asc(), F.crc32("ids").asc()]
+    dealt = ids.repartitionByRange(files, *order).sortWithinPartitions(*order)
     return written(
         dealt.mapInArrow(
             segments,
