@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from credence.llm.common import bounded_rows, text_groups, written
+from credence.llm.common import bounded_rows, flat_bytes, text_groups, written
 from credence.llm.huffman import _binary
 from credence.llm.tokens import encoder
 
@@ -139,9 +139,14 @@ def places(combinations: list[tuple[dict[int, int], int]], capacity: int) -> lis
     return [np.array(rows.get(k, []), np.int64).reshape(-1, 4) for k in range(capacity + 1)]
 
 
-def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The columns of ``pieces`` but the ids' bytes, with ids_crc32, sequence_id and offset."""
-    narrow = found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+def _lists(column: pa.Array) -> pa.Array:
+    """A binary column of little-endian 32-bit numbers as lists."""
+    data, offsets = flat_bytes(column.cast(pa.large_binary()).view(pa.large_string()))
+    return pa.ListArray.from_arrays(pa.array((offsets // 4).astype(np.int32)), pa.array(data.view("<i4")))
+
+
+def placed(found: DataFrame, columns: str, capacity: int = CAPACITY) -> DataFrame:
+    """The named columns of ``pieces`` (name and type, comma-separated) with sequence_id and offset."""
     here = found.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part")
     first = here.select("length", "part", (F.sum("n").over(before) - F.col("n")).alias("first"))
@@ -149,6 +154,7 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for length, n in bounded_rows(here.groupBy("length").agg(F.sum("n")), capacity, "lengths"):
         counts[length] = n
     table = places(plan(counts, capacity), capacity)
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,38 +168,23 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 sequence[mine] = row[:, 2] + bin_
                 offset[mine] = row[:, 3] + slot * k
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(n) for n in ("doc_id", "piece", "start")),
-                    pa.array(length.astype(np.int64)),
-                    batch.column("ids_crc32"),
-                    pa.array(sequence),
-                    pa.array(offset),
-                ],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+                [*(_lists(batch.column(n)) if n == "ids" else batch.column(n) for n in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"]
             )
 
-    return narrow.join(first, ["length", "part"]).mapInArrow(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    )
+    narrow = found.withColumn("ids_crc32", F.crc32("ids"))
+    wanted = narrow.select(*dict.fromkeys(["length", "part", "rank", *names]))
+    return wanted.join(first, ["length", "part"]).mapInArrow(place, f"{columns}, sequence_id long, offset long")
 
 
-def sequences(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """sequence_id, ids (array) and n of every sequence; a sequence has at most ``capacity`` ids."""
-    found = pieces(docs, vocabulary, capacity)
+def packed(found: DataFrame, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece; on demand its ids too."""
+    columns = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * ids
+    return placed(found, columns, capacity).withColumn("length", F.col("length").cast("long"))
 
-    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in ("doc_id", "piece")), pa.array(values, pa.list_(pa.int64()))],
-                ["doc_id", "piece", "values"],
-            )
 
-    values = found.select("doc_id", "piece", "ids").mapInArrow(numbers, "doc_id long, piece int, values array<long>")
-    return (
-        packed(found, capacity)
-        .join(values, ["doc_id", "piece"])
-        .groupBy("sequence_id")
-        .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "values"))), lambda x: x["values"])).alias("ids"))
-        .withColumn("n", F.size("ids"))
-    )
+def sequences(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+    """sequence_id, ids (array) and n of every sequence; a sequence has at most ``capacity`` ids."""
+    found = placed(pieces(docs, vocabulary, capacity), "ids array<int>", capacity)
+    listed = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    whole = found.groupBy("sequence_id").agg(F.flatten(F.transform(listed, lambda x: x["ids"])).alias("ids"))
+    return whole.withColumn("n", F.size("ids"))
