@@ -16,7 +16,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from credence.llm.common import bounded_rows, written
+from credence.llm.common import bounded_rows, work_folder, written
 
 #: Slots per map. At 100 TB a slot of 65,536 holds about 1.5 GB.
 SLOTS = 4096
@@ -107,29 +107,68 @@ def grown(slot_map: list[int], sizes: list[int], shards: int) -> list[int]:
     return out
 
 
-def store_map(spark: SparkSession, slot_map: list[int], sizes: list[tuple[int, int]], version: int) -> DataFrame:
-    """One version of the map as a written table; it also holds where each slot begins in its shard."""
-    begins: dict[int, int] = {}
-    rows = []
-    for slot, shard in enumerate(slot_map):
-        size, n = sizes[slot]
-        rows.append((version, slot, shard, size, n, begins.get(shard, 0)))
-        begins[shard] = begins.get(shard, 0) + n
-    schema = "version int, virtual_slot int, shard int, slot_bytes long, slot_rows long, first long"
-    return written(spark.createDataFrame(rows, schema).coalesce(1))
+class Maps:
+    """The versions of a slot map as a written table: version, virtual_slot, shard, slot_bytes, slot_rows, first.
+
+    A version has one row a slot, and ``first`` tells where the slot begins in
+    its shard. Versions are only ever added; each edits the one before it.
+    """
+
+    SCHEMA = "version int, virtual_slot int, shard int, slot_bytes long, slot_rows long, first long"
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or work_folder(spark)
+
+    def add(self, version: int, slot_map: list[int], sizes: list[tuple[int, int]]) -> None:
+        begins: dict[int, int] = {}
+        rows = []
+        for slot, shard in enumerate(slot_map):
+            size, n = sizes[slot]
+            rows.append((version, slot, shard, size, n, begins.get(shard, 0)))
+            begins[shard] = begins.get(shard, 0) + n
+        # a version that is written again replaces itself
+        where = f"{self.path}/version={version}"
+        self.spark.createDataFrame(rows, self.SCHEMA).drop("version").coalesce(1).write.mode("overwrite").parquet(where)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        every = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        latest = every.agg(F.max("version")).first()[0] if version is None else version
+        return every.where(F.col("version") == latest)
+
+    def shards_of(self, version: int | None = None) -> list[int]:
+        """Shard of every slot; a version has a fixed number of rows."""
+        return [r["shard"] for r in self.read(version).orderBy("virtual_slot").select("shard").collect()]
+
+
+def laid_out(rows: DataFrame, shards: int = SHARDS, slots: int = SLOTS, maps: Maps | None = None) -> Maps:
+    """The maps of ``records``: version 1 deals slots by size, version 2 is version 1 edited until shards are even."""
+    maps = maps or Maps(rows.sparkSession)
+    sizes = slot_sizes(rows, slots)
+    maps.add(1, new_map([s for s, _ in sizes], shards), sizes)
+    maps.add(2, rebalanced(maps.shards_of(1), [s for s, _ in sizes], shards), sizes)
+    return maps
+
+
+def grow(maps: Maps, shards: int) -> int:
+    """Add a version with one more shard, which takes slots only into itself; returns its number."""
+    last = maps.read().orderBy("virtual_slot").collect()  # one row a slot
+    sizes = [(r["slot_bytes"], r["slot_rows"]) for r in last]
+    version = last[0]["version"] + 1
+    maps.add(version, grown([r["shard"] for r in last], [s for s, _ in sizes], shards), sizes)
+    return version
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Shard and place of every document under a new map (version 1).
+    """Shard and place of every document under the latest version of a new map.
 
     Returns doc_id, size, text_crc32, law ('bytes'), shard, slot (place in the
     shard, gapless from 0), grown_shard (null), virtual_slot and map_version.
     Ranks are taken within virtual slots, so no task sorts a whole shard.
+    Records are hashed by id and text, so documents of equal texts are spread:
+    kept together, a text that a third of all rows share would fill one shard.
     """
     rows = written(records(docs, slots))
-    sizes = slot_sizes(rows, slots)
-    slot_map = rebalanced(new_map([s for s, _ in sizes], shards), [s for s, _ in sizes], shards)
-    table = store_map(docs.sparkSession, slot_map, sizes, version=1)
+    table = laid_out(rows, shards, slots).read()
     place = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
     return (
         rows.withColumn("rank", F.row_number().over(place))

@@ -591,6 +591,18 @@ def test_sequences_hold_the_ids(spark):
     assert sum(list(r["ids"]).count(packing.END_ID) for r in made) == 30
 
 
+def test_sequences_of_repeated_rows_and_null_ids(spark, docs, reference):
+    made = packing.sequences(docs, vocabulary()).collect()
+    assert sum(r["n"] for r in made) == sum(len(x) + 1 for x in reference[1])
+    found = packing.packed(packing.pieces(docs, vocabulary()), ids=True).collect()
+    whole = defaultdict(list)
+    for r in found:
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        whole[r["sequence_id"]].append((r["offset"], r["ids"]))
+    mine = Counter(tuple(i for _, ids in sorted(x) for i in ids) for x in whole.values())
+    assert Counter(len(x) for x in mine.elements()) == Counter(r["n"] for r in made)
+
+
 # ---------------------------------------------------------------- 10
 def test_shards(docs, nothing, spark):
     got = sharding.assign(docs).collect()
@@ -607,6 +619,20 @@ def test_shards(docs, nothing, spark):
     assert sharding.assign(nothing).count() == 0
 
 
+def test_versions_of_the_map(spark):
+    rows = spark.range(5_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.pmod("id", F.lit(50)).cast("int")).alias("text"))
+    records = sharding.records(rows, 256)
+    maps = sharding.laid_out(records, 4, 256)
+    assert maps.read().first()["version"] == 2
+    version = sharding.grow(maps, 4)
+    before, after = maps.shards_of(2), maps.shards_of(version)
+    moved = [(a, b) for a, b in zip(before, after, strict=True) if a != b]
+    assert moved
+    assert {b for _, b in moved} == {4}
+    assert maps.shards_of(1) != after
+    assert maps.read().agg(F.sum("slot_rows")).first()[0] == 5_000
+
+
 def test_maps_are_edited_not_remade():
     rng = random.Random(2)
     sizes = [rng.randint(1, 100) for _ in range(1000)]
