@@ -5,11 +5,10 @@ presence of selected words and word beginnings; each model also sees the log-odd
 categories before it. In training those log-odds are out-of-fold predictions,
 so a later model learns from what an earlier one says about unseen documents.
 
-The labels tell only whether a document is toxic. The other categories are
-that label together with what the text holds: named terms of insult or of
-contempt, or at least SEVERE_TERMS terms. The words that the models see are
-not given: they are all whose presence differs significantly between toxic and
-other labelled documents.
+The categories are what the labels tell: poor (of low quality), toxic, and
+foul (both). The words that the models see are not given: they are all, whole
+or by their first bytes, whose presence differs significantly between toxic
+and other, or between poor and other labelled documents.
 
 Training uses at most SAMPLE labelled documents, those of smallest id hash;
 all documents are scored whole. Defined results: null and empty texts have no
@@ -20,15 +19,14 @@ other columns are not read.
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import bounded_rows, flat_bytes, text_groups
+from credence.llm.common import bounded_rows, flat_bytes, text_groups, text_hash, written
 from credence.llm.hashing import ODD, Seeds, mixed, stem_hashes, word_hashes
 
 #: Labelled documents used for training, at most.
@@ -39,58 +37,71 @@ FOLDS = 5
 #: Words are seen whole and by their first bytes, which inflected forms share.
 STEM = 4
 RIDGE = 1.0
-SEVERE_TERMS = 4
 #: Probability from which a document counts as toxic.
 THRESHOLD = 0.15
 
-INSULT = ["idiot", "moron", "loser", "clown", "scum"]
-CONTEMPT = ["trash", "pathetic", "worthless", "disgusting", "stupid"]
-CHAIN = ["insult", "contempt", "toxic", "severe"]
-
-
-def _hash(word: str) -> int:
-    return int(word_hashes(*flat_bytes(pa.array([word])))[0][0])
+CHAIN = ["poor", "toxic", "foul"]
+#: Words that pass the test, at most: more are an error. Each is in at least LEAST_DOCS of SAMPLE documents.
+MOST_WORDS = 1 << 20
+LEAST_DOCS = 5
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct word hashes of each document, and how many terms it holds of each list."""
-    lists = [np.array(sorted(map(_hash, x)), np.uint64) for x in (INSULT, CONTEMPT)]
+    """The distinct word hashes of each document."""
     for batch in batches:
-        rows, hits = [], [[], []]
+        rows = []
         for a, b in text_groups(batch.column("text")):
             words, bounds = stem_hashes(*flat_bytes(batch.column("text").slice(a, b - a)), STEM)
-            for k in range(b - a):
-                own = words[bounds[k] : bounds[k + 1]]
-                rows.append(np.unique(own).astype("<u8").tobytes())
-                for terms, out in zip(lists, hits, strict=True):
-                    out.append(int(np.isin(own, terms).sum()))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("toxic"),
-                pa.array(rows, pa.binary()),
-                pa.array(hits[0], pa.int64()),
-                pa.array(hits[1], pa.int64()),
-            ],
-            ["doc_id", "toxic", "words", "insults", "contempts"],
-        )
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list:
-    """The labelled sample: doc_id, toxic, distinct words and term counts."""
-    chosen = (
-        labels.where("toxic is not null and doc_id is not null")
-        .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
-    )
-    # at most ``sample`` rows of 12 bytes
-    joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    found = joined.select("doc_id", F.col("toxic").cast("int"), "text").dropDuplicates(["doc_id"]).mapInArrow(
-        _words, "doc_id long, toxic int, words binary, insults long, contempts long"
-    )
-    return sorted(bounded_rows(found, sample, "labelled sample"), key=lambda r: r["doc_id"])
+            rows += [np.unique(words[bounds[k] : bounds[k + 1]]).view(np.int64) for k in range(b - a)]
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(rows, pa.list_(pa.int64()))], [*kept, "words"])
+
+
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The labelled sample, written: doc_id, poor, toxic and the distinct words of each document.
+
+    Of rows of equal id the one of the smallest text hash is taken.
+    """
+    known = labels.where("doc_id is not null and toxic is not null")
+    poor = F.max(F.coalesce(F.col("quality") == 0, F.lit(False)).cast("int")).alias("poor")
+    chosen = known.groupBy("doc_id").agg(poor, F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash().alias("t"), F.col("text").cast("string"))
+    # at most ``sample`` rows of 16 bytes
+    joined = rows.join(F.broadcast(chosen), "doc_id")
+    first = joined.groupBy("doc_id").agg(F.min("t").alias("t"))
+    single = joined.join(F.broadcast(first), ["doc_id", "t"]).select("doc_id", "poor", "toxic", "text")
+    return written(single.mapInArrow(_words, "doc_id long, poor int, toxic int, words array<long>").dropDuplicates(["doc_id"]))
+
+
+def selected(rows: DataFrame, least: float = LEAST_Z) -> np.ndarray:
+    """Hashes of the words whose presence differs by ``least`` or more between documents with a label and the others.
+
+    Words are counted in Spark; only those that pass come to the driver.
+    """
+    n, poor, toxic = rows.agg(F.count(F.lit(1)), F.sum("poor"), F.sum("toxic")).first()
+    each = rows.select("poor", "toxic", F.explode("words").alias("word")).groupBy("word")
+    counts = each.agg(F.count(F.lit(1)).alias("n"), F.sum("poor").alias("poor"), F.sum("toxic").alias("toxic")).where(F.col("n") >= LEAST_DOCS)
+
+    def z(label: str, with_label: int) -> Column:
+        if not 0 < with_label < n:
+            return F.lit(0.0)
+        share = F.col("n") / n
+        spread = F.sqrt(share * (1 - share) * (1 / with_label + 1 / (n - with_label))) + 1e-12
+        return F.abs(F.col(label) / with_label - (F.col("n") - F.col(label)) / (n - with_label)) / spread
+
+    passed = counts.where(F.greatest(z("poor", poor), z("toxic", toxic)) >= least).select("word")
+    return np.array([r["word"] for r in bounded_rows(passed, MOST_WORDS, "words")], np.int64).view(np.uint64)
+
+
+def _seen(seeds: Seeds):
+    """Reduces the words of each document to the numbers of those that the models see."""
+
+    def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.sort(seeds.find(np.asarray(x.values, np.int64).view(np.uint64))[1]).astype(np.int32) for x in batch.column("words")]
+            yield batch.set_column(batch.schema.get_field_index("words"), "words", pa.array(each, pa.list_(pa.int32())))
+
+    return see
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -138,41 +149,22 @@ def chain_probabilities(x: np.ndarray, models: list[np.ndarray]) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def selected(rows: list, least: float = LEAST_Z) -> np.ndarray:
-    """Hashes of the words whose presence differs between toxic and other documents by ``least`` or more."""
-    each = [np.frombuffer(r["words"], "<u8") for r in rows]
-    every = np.concatenate(each)
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in each])
-    toxic = np.array([r["toxic"] for r in rows])
-    values, place = np.unique(every, return_inverse=True)
-    inside = np.bincount(place, weights=toxic[owner], minlength=len(values))
-    both = np.bincount(place, minlength=len(values))
-    n1, n = toxic.sum(), len(rows)
-    share = both / n
-    spread = np.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1))) + 1e-12
-    z = np.abs(inside / n1 - (both - inside) / (n - n1)) / spread
-    z[both < 5] = 0
-    return values[z >= least]
-
-
 def trained(docs: DataFrame, labels: DataFrame) -> tuple[Seeds, list[np.ndarray]] | None:
-    rows = training_rows(docs, labels)
-    if len({r["toxic"] for r in rows}) < 2:
+    sample = sampled(docs, labels)
+    if sample.select("toxic").distinct().count() < 2:
         return None
-    seeds = Seeds(selected(rows))
+    seeds = Seeds(selected(sample))
+    # one short row for each document of the sample
+    seen = sample.mapInArrow(_seen(seeds), "doc_id long, poor int, toxic int, words array<int>")
+    rows = sorted(bounded_rows(seen, SAMPLE, "labelled sample"), key=lambda r: r["doc_id"])
     x = np.zeros((len(rows), len(seeds.grams)))
     for k, row in enumerate(rows):
-        x[k, seeds.find(np.frombuffer(row["words"], "<u8"))[1]] = 1
-    toxic = np.array([r["toxic"] for r in rows], float)
-    insults = np.array([r["insults"] for r in rows])
-    contempts = np.array([r["contempts"] for r in rows])
-    targets = np.stack(
-        [toxic * (insults > 0), toxic * (contempts > 0), toxic, toxic * (insults + contempts >= SEVERE_TERMS)], axis=1
-    )
+        x[k, row["words"]] = 1
+    poor, toxic = (np.array([r[c] for r in rows], float) for c in ("poor", "toxic"))
     # by a hash, so that no order of ids lines up with the folds
     ids = np.array([r["doc_id"] for r in rows], np.int64).view(np.uint64)
     folds = mixed(ids * np.uint64(ODD)) % np.uint64(FOLDS)
-    return seeds, chained(x, targets, folds)
+    return seeds, chained(x, np.stack([poor, toxic, poor * toxic], axis=1), folds)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
