@@ -1,19 +1,26 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters and digits and of bytes above 127, after full
-Unicode case folding in normal form C. The n-grams of every benchmark item are counted over all training
-documents (in how many they occur). An item's seeds are its n-grams that are
-no commoner than RARE times its median n-gram, or than a share RARE_SHARE of
-the documents; every item keeps at least half of its n-grams. Each place in a
-document where a seed occurs nominates the passage around it, and passages are
-aligned with the item word by word. An item leaks into a document when the
-best alignment scores at least THRESHOLD of the item's perfect score.
+Unicode case folding in normal form C. An item leaks into a document when the
+best local alignment of their words scores at least THRESHOLD of the item's
+perfect score.
+
+Seeds are pairs of neighbouring words of an item; in a document they may have
+one word between them. An alignment that reaches the threshold keeps at least
+``surviving`` of an item's n - 1 pairs, whatever is replaced, inserted or
+removed: replacing or removing a word costs three points and breaks two pairs
+at most, an inserted word costs one point, and only two of them between two
+words break a pair. Pairs are counted over all training documents (in how many
+they occur), and an item's commonest pairs, half of those that may be spared,
+are no seeds. A document is aligned with an item, around the seeds, when it
+holds as many of its seeds as must be left. So every leak of an item of SHORT
+words or more is found; the rare seeds decide the cost alone.
 
 The benchmark is a stated query set: it is sent to all tasks in blocks of at
 most BLOCK_WORDS words, one pass over the documents a block.
 
 Defined results: null and empty texts, and items without words, leak nothing;
-items shorter than an n-gram are matched by their whole word sequence; repeated
+items of fewer than SHORT words are looked for by their whole word sequence; repeated
 rows give a row each; empty tables give no rows; other columns are not read.
 """
 
@@ -28,14 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.llm.common import bounded_rows, flat_bytes, text_groups
-from credence.llm.hashing import Seeds, gram_hashes, word_hashes
+from credence.llm.hashing import ODD, Seeds, gram_hashes, mixed, word_hashes
 
-NGRAM = 3
-RARE = 4
-RARE_SHARE = 0.0005
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Words of benchmark text sent to the tasks at once, and items of a block.
+#: Words of the shortest item that is looked for by pairs.
+SHORT = 4
+#: Words of benchmark text sent to the tasks at once.
 BLOCK_WORDS = 1 << 21
 
 
@@ -81,27 +87,59 @@ def items_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[l
         yield block
 
 
-def _scan(batch: pa.RecordBatch, seeds: Seeds, short: int) -> Iterator[tuple]:
-    """For groups of texts: first row, word hashes, text bounds, and hits (word place, seed) of n-grams.
+def surviving(words: int, threshold: float = THRESHOLD) -> int:
+    """Least number of an item's pairs that an alignment of at least ``threshold`` keeps, with at most one word between.
 
-    n-grams are looked up for all sizes from ``short`` to NGRAM; shorter ones
-    stand for items that are no longer.
+    What the perfect score has over the threshold pays for replaced or removed
+    words (three points, two pairs) and for inserted or left out ones (two points, one pair).
+    """
+    spare = MATCH * words - int(np.ceil(MATCH * words * threshold))
+    lost = max(2 * e + (spare - 3 * e) // 2 for e in range(spare // 3 + 1))
+    return words - 1 - lost
+
+
+def pairs_of(words: np.ndarray, between: int) -> np.ndarray:
+    """Hashes of all pairs of words with so many words between them."""
+    n = max(len(words) - between - 1, 0)
+    return mixed(words[:n] * np.uint64(ODD) + words[len(words) - n :])
+
+
+class Owners:
+    """The seeds of a block: their hashes, and for each the items that have it and where in them."""
+
+    def __init__(self, grams: list[np.ndarray], places: list[np.ndarray]):
+        self.seeds = Seeds(np.concatenate(grams) if grams else np.zeros(0, np.uint64))
+        number = np.searchsorted(self.seeds.grams, np.concatenate(grams))
+        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        order = np.argsort(number, kind="stable")
+        self.item, self.place = item[order], np.concatenate(places)[order]
+        self.first = np.searchsorted(number[order], np.arange(len(self.seeds.grams) + 1))
+
+
+def _scan(batch: pa.RecordBatch, seeds: Seeds, short: list[int]) -> Iterator[tuple]:
+    """For groups of texts: first row, word hashes, text bounds, and hits (word place, seed).
+
+    ``short`` lists the sizes of the whole sequences that are looked for.
     """
     for a, b in text_groups(batch.column("text")):
         words, bounds = word_hashes(*flat_bytes(folded(batch.column("text").slice(a, b - a))))
         places, numbers = [], []
-        for n in range(short, NGRAM + 1):
-            at, number = seeds.find(gram_hashes(words, n))
+        runs = [(pairs_of(words, 0), 2), (pairs_of(words, 1), 3), *((sequence_hashes(words, n), n) for n in short)]
+        for hashes, n in runs:
+            at, number = seeds.find(hashes)
             text = np.searchsorted(bounds, at, "right") - 1
             whole = at + n <= bounds[text + 1]  # within one text
             places.append(at[whole])
             numbers.append(number[whole])
-        at, number = np.concatenate(places), np.concatenate(numbers)
-        order = np.argsort(at, kind="stable")
-        yield a, words, bounds, at[order], number[order]
+        yield a, words, bounds, np.concatenate(places), np.concatenate(numbers)
+
 
+def sequence_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of whole short items, apart from those of pairs."""
+    return mixed(gram_hashes(words, n) ^ np.uint64(n))
 
-def gram_frequencies(docs: DataFrame, seeds: Seeds, short: int) -> np.ndarray:
+
+def gram_frequencies(docs: DataFrame, seeds: Seeds, short: list[int]) -> np.ndarray:
     """In how many documents each seed occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,54 +159,66 @@ def gram_frequencies(docs: DataFrame, seeds: Seeds, short: int) -> np.ndarray:
     return out
 
 
-def rare(frequencies: np.ndarray, documents: int) -> np.ndarray:
-    """Which of an item's n-grams are its seeds."""
-    middle = np.median(frequencies)
-    return frequencies <= max(RARE * middle, RARE_SHARE * documents)
-
-
 class Finder:
     """Finds the items of one block in batches of documents."""
 
-    def __init__(self, docs: DataFrame, block: list[tuple[int, np.ndarray]], documents: int, threshold: float):
-        grams = [gram_hashes(w, min(NGRAM, len(w))) for _, w in block]
-        self.short = min(min(NGRAM, len(w)) for _, w in block)
+    def __init__(self, docs: DataFrame, block: list[tuple[int, np.ndarray]], threshold: float):
         self.block, self.threshold = block, threshold
-        everything = Seeds(np.concatenate(grams))
-        frequencies = gram_frequencies(docs, everything, self.short)
-        chosen = [g[rare(frequencies[np.searchsorted(everything.grams, g)], documents)] for g in grams]
-        self.seeds = Seeds(np.concatenate(chosen))
-        # for each seed, the items that have it and where in them it stands first
-        self.owners: list[list[tuple[int, int]]] = [[] for _ in self.seeds.grams]
-        for k, (found, all_of) in enumerate(zip(chosen, grams, strict=True)):
-            place = {g: i for i, g in reversed(list(enumerate(all_of.tolist())))}
-            for gram in np.unique(found).tolist():
-                self.owners[int(np.searchsorted(self.seeds.grams, np.uint64(gram)))].append((k, place[gram]))
+        keep = [surviving(len(w), threshold) if len(w) >= SHORT else 0 for _, w in block]
+        whole = [k < 1 for k in keep]
+        self.short = sorted({len(w) for (_, w), x in zip(block, whole, strict=True) if x})
+        grams = [sequence_hashes(w, len(w)) if x else pairs_of(w, 0) for (_, w), x in zip(block, whole, strict=True)]
+        places = [np.arange(len(g)) for g in grams]
+        every = Seeds(np.concatenate(grams))
+        frequencies = gram_frequencies(docs, every, self.short)
+        need = np.ones(len(block), np.int64)
+        for k, least in enumerate(keep):
+            spared = max((least - 1) // 2, 0)
+            need[k] = max(least - spared, 1)
+            if spared:
+                common = np.argsort(frequencies[np.searchsorted(every.grams, grams[k])], kind="stable")[len(grams[k]) - spared :]
+                places[k] = np.delete(places[k], common)
+                grams[k] = np.delete(grams[k], common)
+        self.need = need
+        self.owned = Owners(grams, places)
 
     def best(self, wanted: np.ndarray, words: np.ndarray, begins: list[int]) -> int:
         """Best alignment of an item in a document whose seeds suggest that it begins at ``begins``."""
-        slack = len(wanted) // 2 + 2
+        # as many words may be inserted before and after a seed
+        slack = len(wanted) + 2
         best, low, high = 0, None, 0
         for begin in sorted(begins):
             # windows that overlap are aligned as one
             if low is not None and begin - slack > high:
-                best = max(best, align(wanted, words[max(0, low) : high]))
+                best = max(best, align(wanted, words[max(0, low) : max(0, high)]))
                 low = None
             low = begin - slack if low is None else low
             high = begin + len(wanted) + slack
-        return max(best, align(wanted, words[max(0, low) : high]))
+        return max(best, align(wanted, words[max(0, low) : max(0, high)]))
 
     def leaks(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, float]]:
         """(row, item_id, score, similarity) of every leak in a batch."""
-        for first, words, bounds, at, number in _scan(batch, self.seeds, self.short):
+        owners, items = self.owned, len(self.block)
+        for first, words, bounds, at, number in _scan(batch, owners.seeds, self.short):
+            # each hit meets all items that have the seed
+            n = owners.first[number + 1] - owners.first[number]
+            hit = np.repeat(np.arange(len(at)), n)
+            entry = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + owners.first[number][hit]
+            item, offset = owners.item[entry], owners.place[entry]
             text = np.searchsorted(bounds, at, "right") - 1
-            begins: dict[tuple[int, int], list[int]] = {}
-            for place, seed, doc in zip(at.tolist(), number.tolist(), text.tolist(), strict=True):
-                for item, offset in self.owners[seed]:
-                    begins.setdefault((doc, item), []).append(place - int(bounds[doc]) - offset)
-            for (doc, item), found in begins.items():
-                item_id, wanted = self.block[item]
-                best = self.best(wanted, words[bounds[doc] : bounds[doc + 1]], found)
+            pair = text[hit] * items + item
+            # how many of an item's seeds the document holds, each place of the item counted once
+            longest = int(offset.max(initial=0)) + 1
+            held, size = np.unique(np.unique(pair * longest + offset) // longest, return_counts=True)
+            enough = held[size >= self.need[held % items]]
+            order = np.argsort(pair, kind="stable")
+            ends = np.searchsorted(pair[order], enough, "right")
+            for which, a, b in zip(enough.tolist(), np.searchsorted(pair[order], enough).tolist(), ends.tolist(), strict=True):
+                doc, k = divmod(which, items)
+                mine = order[a:b]
+                begins = np.unique(at[hit[mine]] - bounds[doc] - offset[mine])
+                item_id, wanted = self.block[k]
+                best = self.best(wanted, words[bounds[doc] : bounds[doc + 1]], begins.tolist())
                 similarity = best / (MATCH * len(wanted))
                 if similarity >= self.threshold:
                     yield first + doc, item_id, best, similarity
@@ -177,9 +227,8 @@ class Finder:
 def finders(docs: DataFrame, benchmark: DataFrame, threshold: float) -> Iterator:
     """A broadcast finder for each block of the benchmark."""
     texts = docs.select(F.col("text").cast("string"))
-    documents = docs.count()
     for block in items_of(benchmark):
-        yield docs.sparkSession.sparkContext.broadcast(Finder(texts, block, documents, threshold))
+        yield docs.sparkSession.sparkContext.broadcast(Finder(texts, block, threshold))
 
 
 def leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

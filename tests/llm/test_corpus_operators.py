@@ -370,6 +370,65 @@ def test_leaks_whole_edited_and_none(spark, nothing, docs, benchmark):
     assert decontaminate.leaked(docs, benchmark.where("false")).count() == 0
 
 
+def test_leaks_equal_alignment_of_all_pairs(spark):
+    """Every edit that leaves half of an item's score is found, at the score that full alignment gives."""
+    rng = random.Random(61)
+    common = ["".join(rng.choices("abcd", k=2)) for _ in range(40)]
+    word = lambda: rng.choice(common) if rng.random() < 0.5 else "".join(rng.choices("efghijkl", k=6))
+    items = [[word() for _ in range(rng.randint(4, 40))] for _ in range(25)]
+
+    def edited(words, kind):
+        if kind == "thirds":
+            return [w if k % 3 else f"new{k}" for k, w in enumerate(words)]
+        if kind == "spread":
+            return [x for w in words for x in (w, "filler")][: 2 * len(words) - 1]
+        out = []
+        for w in words:
+            roll = rng.random()
+            share = {"some": 0.1, "many": 0.25, "most": 0.35}[kind]
+            if roll < share / 3:
+                out += [w, word()]
+            elif roll < 2 * share / 3:
+                out.append(word())
+            elif roll >= share:
+                out.append(w)
+        return out
+
+    prose = lambda n: [word() for _ in range(n)]
+    texts = [prose(40) + edited(i, kind) + prose(40) for i in items for kind in ("thirds", "spread", "some", "many", "most")]
+    texts += [prose(60) for _ in range(20)]
+    hashes = lambda words: word_hashes(*flat_bytes(pa.array([" ".join(words)])))[0]
+    want = {}
+    for d, text in enumerate(texts):
+        for k, item in enumerate(items):
+            score = decontaminate.align(hashes(item), hashes(text))
+            if score >= decontaminate.THRESHOLD * 2 * len(item):
+                want[d, k] = score
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.leaked(docs, benchmark).collect()}
+    assert got == want
+    assert len(want) > 60
+
+
+def test_surviving_pairs():
+    rng = random.Random(62)
+    for _ in range(3000):
+        n = rng.randint(4, 24)
+        item = list(range(n))
+        text, e = [], rng.random() * 0.5
+        for w in item:
+            roll = rng.random()
+            if roll < e / 2:
+                text += rng.choice([[], [-1]])
+            else:
+                text += [w] + [-1] * (rng.random() < e) * rng.randint(1, 2)
+        if brute_align(item, text) < n:
+            continue
+        left = {(a, b) for gap in (1, 2) for a, b in zip(text, text[gap:], strict=False) if b == a + 1 and a >= 0}
+        assert len(left) >= decontaminate.surviving(n)
+
+
 def test_upper_case_and_decomposed_letters_leak(spark):
     item = "Über größere Straßen läuft Çelik früh zurück, où l'été déjà s'achève après señales mañana así también"
     plain = "STRASSE " * 3 + "quite other words that have nothing to do with any of the items at all"
