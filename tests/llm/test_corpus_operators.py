@@ -479,6 +479,40 @@ def test_ratio_rejects_what_the_target_lacks(spark):
     assert unlabelled.count() == 200
 
 
+def test_query_scores_equal_brute_force_on_the_smallest_tables(spark):
+    """op6's score and verdict by plain Python over whole tables."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    import duckdb
+
+    docs = dict(duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall())
+    labels = duckdb.sql(f"SELECT doc_id FROM '{sf}/labels.parquet' WHERE quality = 1").fetchall()
+    long = lambda v, seed: xxhash.xxh64_intdigest((v & (1 << 64) - 1).to_bytes(8, "little"), seed)
+    good = {i for (i,) in labels}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    held = {i for i in good if signed(long(i, xxhash.xxh64_intdigest(b"held", 42))) % quality.HELD == 0}
+
+    def features(text):
+        ones = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORDS.findall(text or "")]
+        return [signed(h) % quality.BUCKETS for h in [*ones, *(long(b, long(a, 42)) for a, b in zip(ones, ones[1:], strict=False))]]
+
+    every = {i: features(t) for i, t in docs.items()}
+    corpus = Counter(b for f in every.values() for b in f)
+    target = Counter(b for i in good - held if i in every for b in every[i])
+    scale = sum(target.values()) / sum(corpus.values())
+    ratio = {b: np.log((target[b] + quality.PSEUDO) / (n * scale + quality.PSEUDO)) for b, n in corpus.items()}
+    score = {i: sum(ratio[b] for b in f) / max(len(f), 1) for i, f in every.items()}
+    tested = sorted(score[i] for i in held if i in score)
+    least = tested[int(len(tested) * (1 - quality.KEPT_SHARE))] - np.std(tested) * (1 + quality.FEW / len(tested))
+    got = {r["doc_id"]: r for r in QUERIES["op6_quality_ratio"](spark, sf).collect()}
+    assert set(got) == set(docs)
+    for i, r in got.items():
+        assert r["score"] == pytest.approx(score[i], abs=1e-5)
+        if abs(score[i] - least) > 1e-5:
+            assert r["kept"] == (not r["base_failed"] and score[i] > least)
+
+
 def test_quality_keeps_clashing_columns(docs, labels):
     kept = quality.passing(docs, labels)
     assert kept.columns == docs.columns
