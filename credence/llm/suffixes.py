@@ -50,6 +50,8 @@ WIDTH = LENGTH - GRAM + 1
 PART = 1 << 20
 #: Bytes of texts, and rows, that a task works on at once: some ten numbers of 8 bytes are held for each byte.
 GROUP_BYTES, GROUP_ROWS = 1 << 18, 2048
+#: Spans that a task holds to find repeats among them.
+AT_HAND = 1 << 17
 #: Spans under one anchor that one task may compare.
 CROWD = 50_000
 #: Bits of the filter on documents that hold repeats; more documents fill it, which costs shuffling only.
@@ -141,39 +143,71 @@ def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each anchor: g (its rank), s (rank of its span), doc, t, lo (first window) and n (windows)."""
+    """One row for each anchor: g (its rank), s (rank of its span), doc, t, lo (first window) and n (windows).
+
+    ``known`` marks rows whose span occurs earlier among the spans at hand. They
+    need no comparison, so their g is a hash of their own place, which scatters
+    them: copies of one text don't all go to the sort of its anchors.
+    """
+    made: list[pa.RecordBatch] = []
     for batch in batches:
-        for a, b in text_groups(batch.column("text"), GROUP_BYTES):
-            doc = batch.column("doc").slice(a, b - a).to_numpy()
-            t = batch.column("t").slice(a, b - a).to_numpy()
-            for data, bounds, skip in _parts(*flat_bytes(batch.column("text").slice(a, b - a))):
-                if len(data) < LENGTH:
-                    continue
-                size = np.diff(bounds)
-                windows = np.maximum(size - LENGTH + 1, 0)
-                owner = np.repeat(np.arange(len(size)), windows)
-                if not len(owner):
-                    continue
-                start = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + bounds[owner]
-                anchor = anchors(data)[start]
-                first, n = _runs(owner, start, anchor)
-                lo, at, own = start[first], anchor[first], owner[first]
-                sums = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum(BYTE[data] * UP[: len(data)], out=sums[1:])
-                span = (sums[lo + n - 1 + LENGTH] - sums[lo]) * DOWN[lo]
-                shape = ((at - lo) * 128 + n).astype(np.uint64)
-                gram = (sums[at + GRAM] - sums[at]) * DOWN[at]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(mixed(gram).view(np.int64)),
-                        pa.array((mixed(span) ^ mixed(shape * np.uint64(ODD))).view(np.int64)),
-                        pa.array(doc[own]),
-                        pa.array(t[own]),
-                        pa.array((lo - bounds[own] + skip[own]).astype(np.int32)),
-                        pa.array(n.astype(np.int32)),
-                    ],
-                    ["g", "s", "doc", "t", "lo", "n"],
-                )
+        for part in _batch_spans(batch):
+            made.append(part)
+            if sum(len(m) for m in made) >= AT_HAND:
+                yield _combined(made)
+                made = []
+    if made:
+        yield _combined(made)
+
+
+def _combined(made: list[pa.RecordBatch]) -> pa.RecordBatch:
+    whole = pa.concat_batches(made)
+    g, s, doc, t, lo = (whole.column(c).to_numpy() for c in ("g", "s", "doc", "t", "lo"))
+    order = np.lexsort((lo, t, doc, s, g))
+    g, s, doc, t, lo = g[order], s[order], doc[order], t[order], lo[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    # rows of one document that repeats tie with its first
+    known = (doc != doc[head]) | (t != t[head]) | (lo != lo[head])
+    apart = mixed(mixed(doc.view(np.uint64) ^ t.view(np.uint64)) + lo.astype(np.uint64)).view(np.int64)
+    out = whole.take(pa.array(order)).set_column(0, "g", pa.array(np.where(known, apart, g)))
+    return out.append_column("known", pa.array(known))
+
+
+def _batch_spans(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The anchors' rows of one batch."""
+    for a, b in text_groups(batch.column("text"), GROUP_BYTES):
+        doc = batch.column("doc").slice(a, b - a).to_numpy()
+        t = batch.column("t").slice(a, b - a).to_numpy()
+        for data, bounds, skip in _parts(*flat_bytes(batch.column("text").slice(a, b - a))):
+            if len(data) < LENGTH:
+                continue
+            size = np.diff(bounds)
+            windows = np.maximum(size - LENGTH + 1, 0)
+            owner = np.repeat(np.arange(len(size)), windows)
+            if not len(owner):
+                continue
+            start = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + bounds[owner]
+            anchor = anchors(data)[start]
+            first, n = _runs(owner, start, anchor)
+            lo, at, own = start[first], anchor[first], owner[first]
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(BYTE[data] * UP[: len(data)], out=sums[1:])
+            span = (sums[lo + n - 1 + LENGTH] - sums[lo]) * DOWN[lo]
+            shape = ((at - lo) * 128 + n).astype(np.uint64)
+            gram = (sums[at + GRAM] - sums[at]) * DOWN[at]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(mixed(gram).view(np.int64)),
+                    pa.array((mixed(span) ^ mixed(shape * np.uint64(ODD))).view(np.int64)),
+                    pa.array(doc[own]),
+                    pa.array(t[own]),
+                    pa.array((lo - bounds[own] + skip[own]).astype(np.int32)),
+                    pa.array(n.astype(np.int32)),
+                ],
+                ["g", "s", "doc", "t", "lo", "n"],
+            )
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -184,19 +218,21 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def settled(texts: DataFrame) -> DataFrame:
-    """Spans under repeated anchors: g, doc, t, lo, n, and whether the span occurs earlier (else it is a first one).
+    """Spans under repeated anchors: g (of first ones), doc, t, lo, n, and whether the span occurs earlier (else it is a first one).
 
     Spans that are alone under their anchor are left out: their windows occur once.
     """
-    spans = texts.select("doc", "t", "text").mapInArrow(_spans, f"g long, s long, {KEY_TYPE}, lo int, n int")
+    spans = texts.select("doc", "t", "text").mapInArrow(
+        _spans, f"g long, s long, {KEY_TYPE}, lo int, n int, known boolean"
+    )
     whole = Window.partitionBy("g")
     same = Window.partitionBy("g", "s").orderBy("doc", "t", "lo")
     return written(
         spans.repartition("g")
         .withColumn("place", F.rank().over(same))
         .withColumn("several", F.min("s").over(whole) != F.max("s").over(whole))
-        .where("place > 1 or several")
-        .select("g", *KEY, "lo", "n", (F.col("place") > 1).alias("earlier"))
+        .where("known or place > 1 or several")
+        .select("g", *KEY, "lo", "n", (F.col("known") | (F.col("place") > 1)).alias("earlier"))
     )
 
 
@@ -253,14 +289,13 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """For all windows of the spans of a batch: rank (with the anchor's), row and place in the text."""
+    """For all windows of the spans of a batch: rank, row and place in the text."""
     data, offsets = flat_bytes(batch.column("span").cast(pa.large_binary()).view(pa.large_string()))
     n = np.diff(offsets) - LENGTH + 1
     row = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     rank = window_ranks(data)[offsets[row] + inside]
-    g = batch.column("g").to_numpy().view(np.uint64)
-    return mixed(rank ^ mixed(g[row])), row, batch.column("lo").to_numpy()[row] + inside
+    return mixed(rank), row, batch.column("lo").to_numpy()[row] + inside
 
 
 def _listed(doc: np.ndarray, t: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -285,10 +320,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done(part: pa.RecordBatch) -> pa.RecordBatch:
         rank, row, at = _windows(part)
         doc, t = part.column("doc").to_numpy()[row], part.column("t").to_numpy()[row]
-        order = np.lexsort((at, t, doc, rank))
-        rank, doc, t, at = rank[order], doc[order], t[order], at[order]
+        g = part.column("g").to_numpy()[row]
+        order = np.lexsort((at, t, doc, rank, g))
+        g, rank, doc, t, at = g[order], rank[order], doc[order], t[order], at[order]
         new = np.ones(len(rank), bool)
-        new[1:] = rank[1:] != rank[:-1]
+        new[1:] = (rank[1:] != rank[:-1]) | (g[1:] != g[:-1])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = (doc != doc[head]) | (t != t[head]) | (at != at[head])
         doc, t, at = doc[later], t[later], at[later]
@@ -317,12 +353,13 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, row, at = _windows(part)
         yield pa.RecordBatch.from_arrays(
             [
+                part.column("g").take(pa.array(row)),
                 pa.array(rank.view(np.int64)),
                 part.column("doc").take(pa.array(row)),
                 part.column("t").take(pa.array(row)),
                 pa.array(at.astype(np.int32)),
             ],
-            ["r", "doc", "t", "lo"],
+            ["g", "r", "doc", "t", "lo"],
         )
 
 
@@ -372,9 +409,9 @@ def removals(texts: DataFrame) -> DataFrame:
     many = spans.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD)
     few = spans.join(many, "g", "left_anti").repartition("g").sortWithinPartitions("g")
     compared = few.mapInArrow(_compare, f"{KEY_TYPE}, lo int, n int")
-    apart = spans.join(many, "g", "left_semi").mapInArrow(_spread, f"r long, {KEY_TYPE}, lo int")
-    heads = apart.groupBy("r").agg(F.min(F.struct(*KEY, "lo")).alias("head"))
-    crowded = apart.join(heads, "r").where(F.struct(*KEY, "lo") != F.col("head"))
+    apart = spans.join(many, "g", "left_semi").mapInArrow(_spread, f"g long, r long, {KEY_TYPE}, lo int")
+    heads = apart.groupBy("g", "r").agg(F.min(F.struct(*KEY, "lo")).alias("head"))
+    crowded = apart.join(heads, ["g", "r"]).where(F.struct(*KEY, "lo") != F.col("head"))
     return (
         found.where("earlier")
         .select(*KEY, "lo", "n")
