@@ -26,6 +26,11 @@ def repaired(text: str | None) -> str | None:
         return text
     except ValueError:
         pass
+    # prose before the first bracket goes
+    begins = [k for k in (text.find("{"), text.find("[")) if k >= 0]
+    if not begins:
+        return None
+    text = text[min(begins) :]
     out: list[str] = []
     stack: list[str] = []
     good: tuple[int, str] | None = None  # output length after the last complete value, and what closes it
@@ -36,12 +41,14 @@ def repaired(text: str | None) -> str | None:
         nonlocal good
         good = (len(out), "".join(CLOSERS[c] for c in reversed(stack)))
 
-    for c in text:
+    for at, c in enumerate(text):
         if inside:
             if escaped:
                 escaped = False
             elif c == "\\":
                 escaped = True
+            elif c == '"' and not _closes(text, at + 1, is_key):
+                c = '\\"'  # a quote within a text
             elif c == '"':
                 inside = False
                 out.append(c)
@@ -94,6 +101,13 @@ def repaired(text: str | None) -> str | None:
     return None
 
 
+def _closes(text: str, at: int, is_key: bool) -> bool:
+    """Whether a quote before ``at`` ends its text: by the sign that follows it."""
+    while at < len(text) and text[at] in " \t\r\n":
+        at += 1
+    return at == len(text) or text[at] in (":" if is_key else ",}]")
+
+
 def _repair_all(values: pd.Series) -> pd.Series:
     return values.map(repaired, na_action="ignore")
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credence.config import BELIEF, CHUNK
 from credence.functions.parsing import parsed, repair_json
 from credence.functions.text import key, known_triples, owner_of, present, valid_triples
+from credence.operators.providers import Model, answered
+from credence.session import settled
 
 ENTITIES = "named_entities array<string>"
 STATEMENTS = (
@@ -28,6 +32,8 @@ PROMPTS = {
     ),
     "triples": 'Give (subject, relation, object) triples over the entities as JSON: {"triples": [[...]]}.\nEntities: $entities\nPassage: $passage',
     "triples_in_context": 'Give triples that the context supports as JSON: {"triples": [[...]]}.\nContext: $context\nPassage: $passage',
+    "entities_all": 'List every name and term of the passage as JSON: {"named_entities": [...]}.\nPassage: $passage',
+    "reason_steps": "Read the passages and give one step of the reasoning at a time.\n$context\nQuestion: $passage",
     "repair": "Correct this JSON and answer with nothing else: $passage",
     "answer": "Read the passages, think, and end with 'Answer:' and a short answer.\n$context\nQuestion: $passage",
     "reason": "Read the passages and give the next thought; write 'So the answer is:' once it is known.\n$context\nQuestion: $passage",
@@ -71,15 +77,17 @@ def read_triples(answers: DataFrame) -> DataFrame:
     return answers.select("chunk_key", known_triples(found, F.col("entities")).alias("triples"))
 
 
-def merged(chunks: DataFrame, entities: DataFrame, statements: DataFrame) -> DataFrame:
-    """One extraction record a chunk: idx, passage, extracted_entities, propositions, traits."""
+def merged(chunks: DataFrame, entities: DataFrame, statements: DataFrame, triples: DataFrame | None = None) -> DataFrame:
+    """One extraction record a chunk: idx, passage, extracted_entities, extracted_triples, propositions, traits."""
+    none = F.array().cast("array<array<string>>")
+    joined = chunks.join(entities, "chunk_key").join(statements, "chunk_key", "left")
+    joined = joined.withColumn("triples", none) if triples is None else joined.join(triples, "chunk_key", "left")
     return (
-        chunks.join(entities, "chunk_key")
-        .join(statements, "chunk_key", "left")
-        .select(
+        joined.select(
             F.col("chunk_key").alias("idx"),
             F.col("content").alias("passage"),
             F.array_sort(F.array_distinct("entities")).alias("extracted_entities"),
+            valid_triples(F.coalesce("triples", none)).alias("extracted_triples"),
             F.coalesce("propositions", F.array()).alias("propositions"),
             F.coalesce("traits", F.array()).alias("traits"),
         )
@@ -122,3 +130,64 @@ def averages(records: DataFrame) -> DataFrame:
 
 def chunk_keys(contents: DataFrame) -> DataFrame:
     return contents.select(key(CHUNK, F.col("content")).alias("chunk_key"), "content").dropDuplicates(["chunk_key"])
+
+
+def entities_of(chunks: DataFrame, model: Model, cache: DataFrame, prompt: str = "entities") -> tuple[DataFrame, DataFrame]:
+    """chunk_key and entities of every chunk, and new cache rows.
+
+    An answer that holds no object even after repair is given to the model
+    once more, to be corrected; what is then still faulty counts as empty.
+    """
+    told, fresh = answered(chunks.withColumn("prompt", filled(prompt, passage=F.col("content"))), cache, model)
+    told = told.withColumn("response", repair_json(F.col("response")))
+    faulty = told.where("response is null").drop("response", "prompt")
+    fixed, more = answered(faulty.withColumn("prompt", filled("repair", passage=F.col("content"))), cache, model)
+    columns = ["chunk_key", "response"]
+    return read_entities(told.where("response is not null").select(*columns).union(fixed.select(*columns))), fresh.unionByName(more)
+
+
+def extracted(chunks: DataFrame, model: Model, cache: DataFrame, with_triples: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Extraction records of chunks (chunk_key, content), and new cache rows: entities, then statements over them, then triples.
+
+    Each stage is settled before the next asks, so no prompt is asked twice.
+    """
+    entities, first = entities_of(chunks, model, cache)
+    entities = settled(entities)
+    named = chunks.join(entities, "chunk_key").withColumn("names", F.array_join("entities", ", "))
+    told, second = answered(named.withColumn("prompt", filled("statements", passage=F.col("content"), entities=F.col("names"))), cache, model)
+    statements = settled(read_statements(told))
+    fresh = first.unionByName(second)
+    triples = None
+    if with_triples:
+        text = F.array_join(F.transform("propositions", lambda p: p["text"]), ". ")
+        over = named.join(statements, "chunk_key").withColumn("prompt", filled("triples", passage=text, entities=F.col("names")))
+        told, third = answered(over, cache, model)
+        triples, fresh = settled(read_triples(told)), fresh.unionByName(third)
+    return merged(chunks, entities, statements, triples), fresh
+
+
+def triple_entities(triples: DataFrame) -> DataFrame:
+    """The distinct entities of triples (array of three), sorted by name."""
+    return triples.select(F.explode(F.array(F.col("triple")[0], F.col("triple")[2])).alias("entity")).distinct()
+
+
+def triple_relations(triples: DataFrame) -> DataFrame:
+    return triples.select(F.col("triple")[1].alias("relation")).distinct()
+
+
+def facts(records: DataFrame) -> DataFrame:
+    """The distinct triples of all records."""
+    return records.select(F.explode("extracted_triples").alias("triple")).distinct()
+
+
+def prompt_table(names: list[str] | None = None) -> list[tuple[str, str]]:
+    """Names of the prompts and the variables that each needs, in alphabetical order."""
+    return sorted((n, ",".join(sorted(set(re.findall(r"\$(passage|entities|context)", PROMPTS[n]))))) for n in names or PROMPTS)
+
+
+def reasoned(questions: DataFrame, model: Model, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The next thought on each question (query_id, question, context), whether it holds the answer, and new cache rows."""
+    asked = questions.withColumn("prompt", filled("reason", passage=F.col("question"), context=F.col("context")))
+    told, fresh = answered(asked, cache, model)
+    done = F.contains("response", F.lit("So the answer is:"))
+    return told.select("query_id", F.coalesce("response", F.lit("")).alias("thought"), F.coalesce(done, F.lit(False)).alias("done")), fresh

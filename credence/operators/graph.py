@@ -93,8 +93,22 @@ def augmented(nodes: DataFrame, edges: DataFrame, more_nodes: DataFrame, staged:
     return all_nodes, edges.unionByName(fresh.select(*edges.columns))
 
 
-def without_loops(edges: DataFrame) -> DataFrame:
-    return edges.where("src <> dst")
+def flushed(staged: DataFrame) -> DataFrame:
+    """Staged edges without loops, summed by their ends; nodes need not be known."""
+    return accumulated(staged.where("src <> dst"))
+
+
+def new_passage_edges(chunks: DataFrame, known: DataFrame) -> DataFrame:
+    """Contains edges of weight 1 for the chunks that are not among known(chunk_key)."""
+    keyed = chunks.withColumn("chunk_key", key(CHUNK, F.col("content")))
+    return passage_edges(keyed.join(known, "chunk_key", "left_anti").select("content", "entities"))
+
+
+def adjacency(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Views of the edges: beliefs of agents, entities of beliefs, and beliefs of entities."""
+    agency = edges.where("type = 'agency'").select(F.col("src").alias("agent"), F.col("dst").alias("prop_key"))
+    inclusion = edges.where("type = 'inclusion'").select(F.col("src").alias("prop_key"), F.col("dst").alias("entity"))
+    return agency, inclusion, inclusion.select("entity", "prop_key")
 
 
 def undirected(edges: DataFrame) -> DataFrame:

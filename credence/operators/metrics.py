@@ -13,18 +13,22 @@ from credence.functions.text import normal_answer, words
 
 
 def recall_at(retrieved: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
-    """k and mean recall (four places): retrieved(query_id, doc, rank) against gold(query_id, doc).
+    """k and mean recall (four places): retrieved(query_id, doc, rank) against gold(query_id, doc)."""
+    wanted = gold.select("query_id", "doc").distinct()
+    sizes = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
+    hits = retrieved.select("query_id", "doc", "rank").join(wanted, ["query_id", "doc"], "left_semi")
+    return recall_of(hits.groupBy("query_id", "doc").agg(F.min("rank").alias("rank")), sizes, ks)
+
+
+def recall_of(hits: DataFrame, sizes: DataFrame, ks: list[int]) -> DataFrame:
+    """k and mean recall from the ranks of gold documents that were retrieved and sizes(query_id, n_gold).
 
     The mean is over all queries that have gold documents; queries that
     retrieve nothing count 0.
     """
-    wanted = gold.select("query_id", "doc").distinct()
-    sizes = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
-    hits = retrieved.select("query_id", "doc", "rank").join(wanted, ["query_id", "doc"], "left_semi")
     at = F.explode(F.array(*[F.lit(k) for k in sorted(set(ks))])).alias("k")
-    found = hits.groupBy("query_id", "doc").agg(F.min("rank").alias("rank")).select("query_id", "rank", at).where("rank <= k")
-    found = found.groupBy("query_id", "k").agg(F.count(F.lit(1)).alias("found"))
-    every = sizes.select("query_id", "n_gold", at)
+    found = hits.select("query_id", "rank", at).where("rank <= k").groupBy("query_id", "k").agg(F.count(F.lit(1)).alias("found"))
+    every = sizes.where("n_gold > 0").select("query_id", "n_gold", at)
     recall = F.coalesce(F.col("found"), F.lit(0)) / F.col("n_gold")
     return every.join(found, ["query_id", "k"], "left").groupBy("k").agg(F.round(F.avg(recall), 4).alias("recall"))
 

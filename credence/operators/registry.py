@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from credence.functions.parsing import parsed
 from credence.operators.knn import nearest
+from credence.operators.providers import Model, answered
 
 RECENT_ENTITIES, RECENT_PASSAGES = 10, 3
 
@@ -65,3 +67,45 @@ def section(rows: DataFrame, names: str = "content") -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("rank", names)))
     lines = F.transform(listed, lambda x: F.concat(F.lit("- "), x[names]))
     return rows.groupBy("query_id").agg(F.array_join(lines, "\n").alias("section"))
+
+
+def known_first(entities: DataFrame, order: str, k: int) -> DataFrame:
+    """The first ``k`` entities by insertion."""
+    return entities.orderBy(order).limit(k)
+
+
+def recent_as_inserted(mentions: DataFrame, by: str, entity: str, order: str, n: int = RECENT_ENTITIES) -> DataFrame:
+    """The ``n`` entities of each group that were first mentioned last: a repeated mention does not move an entity."""
+    first = mentions.groupBy(by, entity).agg(F.min(order).alias("first"))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("first"), entity)))
+    return ranked.where(F.col("rank") <= n)
+
+
+RESOLVE = 'Resolve the mention to one of the candidates or to a full name of its own. Answer as JSON: {"canonical": "..."}.\nMention: '
+
+
+def resolved(mentions: DataFrame, aliases: DataFrame, found: DataFrame, model: Model, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """mention, ordinal and canonical of every mention, and new cache rows.
+
+    A known alias gives its name. For other mentions a model is asked, with the
+    context of the mention (mentions: mention, ordinal, context) and the
+    candidates' section (found: mention, section); an answer that can't be read
+    leaves the mention as it is.
+    """
+    known = canonical(mentions, aliases)
+    asked = known.where("is_new").join(found, "mention", "left")
+    prompt = F.concat(
+        F.lit(RESOLVE), "mention", F.lit("\nContext: "), F.coalesce("context", F.lit("")), F.lit("\nCandidates:\n"), F.coalesce("section", F.lit(""))
+    )
+    told, fresh = answered(asked.withColumn("prompt", prompt), cache, model)
+    name = F.nullif(F.trim(parsed(F.col("response"), "canonical string")["canonical"]), F.lit(""))
+    answers = told.select("mention", "ordinal", F.coalesce(name, F.col("mention")).alias("canonical"))
+    return known.where("not is_new").select("mention", "ordinal", "canonical").unionByName(answers), fresh
+
+
+def dump(aliases: DataFrame, traits: DataFrame) -> DataFrame:
+    """The whole registry as text: canonical, and a line with its other names and its traits."""
+    names = aliases.where("alias <> canonical").groupBy("canonical").agg(F.array_join(F.array_sort(F.collect_set("alias")), ", ").alias("names"))
+    known = aliases.select("canonical").union(traits.select("canonical")).distinct()
+    line = F.concat("canonical", F.lit(" ("), F.coalesce("names", F.lit("")), F.lit("): "), F.coalesce(F.array_join("profile", "; "), F.lit("")))
+    return known.join(names, "canonical", "left").join(profiles(traits), "canonical", "left").select("canonical", line.alias("line"))

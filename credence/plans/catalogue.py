@@ -406,8 +406,8 @@ def registry_topk(spark, sf):
 def dense_retrieval(spark, sf):
     """Scaled scores of the two hundred best vectors of each probe."""
     v = _vectors(spark, sf)
-    every = knn.nearest(_centroids(spark, sf), v, v.count())
-    scaled = retrieval.dense(every.select("query_id", named("v", "key_id").alias("name"), "score"))
+    best = retrieval.dense_best(_centroids(spark, sf), v, 400)
+    scaled = best.select("query_id", named("v", "key_id").alias("name"), "score")
     ranked = retrieval.ranking(scaled.withColumn("score", F.round("score", 6)), 200)
     return ranked.withColumn("rank", F.col("rank").cast("long"))
 
@@ -438,12 +438,18 @@ def unit_vectors(spark, sf):
 )
 def recall_at_k(spark, sf):
     """Recall of other vectors of the same label among the nearest."""
+    return _recalls(spark, sf, [1, 2, 5, 10])
+
+
+def _recalls(spark, sf, ks):
+    """Labels are compared on what was retrieved, and gold vectors are counted by label; no pairs of a label are made."""
     v = _vectors(spark, sf)
-    found = knn.nearest(v, v, 11).where("query_id <> key_id")
+    found = knn.nearest(v, v, max(ks) + 1).where("query_id <> key_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id")
-    retrieved = found.select("query_id", F.col("key_id").alias("doc"), F.row_number().over(order).alias("rank"))
-    a, b = v.select("label", F.col("id").alias("query_id")), v.select("label", F.col("id").alias("doc"))
-    return metrics.recall_at(retrieved, a.join(b, "label").where("query_id <> doc"), [1, 2, 5, 10])
+    label = v.select(F.col("id").alias("query_id"), "label").join(v.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_gold")), "label")
+    ranked = found.withColumn("rank", F.row_number().over(order)).join(label, "query_id")
+    hits = ranked.join(v.select(F.col("id").alias("key_id"), "label"), ["key_id", "label"], "left_semi").select("query_id", "rank")
+    return metrics.recall_of(hits, label.select("query_id", "n_gold"), ks)
 
 
 # ------------------------------------------------------------------ search and ranking
@@ -601,8 +607,7 @@ def two_stage_retrieval(spark, sf):
     # five stated queries against all beliefs
     scored = owned_beliefs(spark, sf).join(F.broadcast(probes), F.lit(True))
     beliefs = settled(scored.select("query_id", "prop_key", F.round(vectors.dot(F.col("vector"), F.col("probe")), 6).alias("score")))
-    near = contains.join(inclusion, "entity").select("name", "prop_key").distinct()
-    scores = retrieval.two_stage(edges, _dense_passages(spark, sf), beliefs, inclusion, near, steps=6)
+    scores = retrieval.two_stage(edges, _dense_passages(spark, sf), beliefs, inclusion, contains, steps=6)
     ranked = retrieval.ranking(scores.withColumn("score", F.round("score", 9)), 200)
     return ranked.withColumn("rank", F.col("rank").cast("long"))
 
@@ -616,15 +621,6 @@ def grid_search(spark, sf):
     return spark.createDataFrame(list(tried), "paths long, entities long, score double")
 
 
-def _recalls(spark, sf, ks):
-    v = _vectors(spark, sf)
-    found = knn.nearest(v, v, max(ks) + 1).where("query_id <> key_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id")
-    retrieved = found.select("query_id", F.col("key_id").alias("doc"), F.row_number().over(order).alias("rank"))
-    a, b = v.select("label", F.col("id").alias("query_id")), v.select("label", F.col("id").alias("doc"))
-    return metrics.recall_at(retrieved, a.join(b, "label").where("query_id <> doc"), ks)
-
-
 # ------------------------------------------------------------------ answers
 PAIRS_SQL = f"""pairs AS MATERIALIZED (SELECT conv_id, {NORMAL_SQL.format("text")} AS gold,
   lag({NORMAL_SQL.format("text")}) OVER (PARTITION BY conv_id ORDER BY turn, role) AS predicted FROM conversations),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from credence.config import CHUNK
 from credence.functions.text import key
+from credence.operators.extraction import averages
 
 CORPUS = "title string, text string"
 #: The union of the three layouts in which question sets come.
@@ -56,13 +57,23 @@ def gold_answers() -> Column:
     return F.array_distinct(F.concat(F.array(one), *more))
 
 
+def qa_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """question, gold_docs and gold_answers of a question set; a question without gold has one empty string."""
+    empty = F.array(F.lit(""))
+    filled = lambda c: F.when(F.size(c) > 0, c).otherwise(empty)
+    return questions(spark, path).select("id", "question", filled(gold_docs()).alias("gold_docs"), filled(gold_answers()).alias("gold_answers"))
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Extraction records, keyed again by their passage."""
-    return spark.read.schema(RECORDS).json(path).withColumn("idx", key(CHUNK, F.col("passage")))
+    return spark.read.schema(RECORDS).json(f"{path}/docs").withColumn("idx", key(CHUNK, F.col("passage")))
 
 
 def write_records(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+    """Add extraction records, and write the averages over all that are there beside them."""
+    rows.write.mode("append").json(f"{path}/docs")
+    every = rows.sparkSession.read.schema(RECORDS).json(f"{path}/docs")
+    averages(every).coalesce(1).write.mode("overwrite").json(f"{path}/averages")
 
 
 def unextracted(chunks: DataFrame, known: DataFrame) -> DataFrame:

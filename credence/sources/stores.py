@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.functions.text import key
@@ -14,12 +14,22 @@ SCHEMAS = {
     "edges": "src string, dst string, type string, weight double",
     "beliefs": "prop_key string, text string, entities array<string>, source string, attitude string, ordinal bigint",
     "aliases": "alias string, canonical string",
+    "traits": "canonical string, trait string, ordinal bigint",
+    "audits": "agent string, statement string, status string, reasoning string, evidence array<string>",
     "cache": "request string, response string",
+    "embeddings": "request string, embedding array<double>",
+    "grid": "paths bigint, entities bigint, damping double, recall double",
 }
 
 
 class Store:
-    """Tables under one folder. Writes append; a table that was never written reads as empty."""
+    """Tables under one folder, written by numbered batches.
+
+    A batch becomes visible as a whole when it is committed. What a batch that
+    was never committed left behind is not read, and is overwritten when its
+    number is used again, so a batch may be run again after a crash at any
+    point. A table that was never written reads as empty.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -29,16 +39,32 @@ class Store:
         where = hadoop.Path(f"{self.path}/{name}")
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
+    def last(self) -> int:
+        """Number of the last committed batch; -1 if there is none."""
+        if not self._exists("commits"):
+            return -1
+        found = self.spark.read.schema("done long, batch long").parquet(f"{self.path}/commits").agg(F.max("batch")).first()[0]
+        return -1 if found is None else found
+
+    def commit(self, batch: int) -> None:
+        self.spark.range(1).select(F.col("id").alias("done")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/batch={batch}")
+
     def read(self, name: str) -> DataFrame:
         if not self._exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        writer = rows.select(*self.read(name).columns).write.mode("append")
+        every = self.spark.read.schema(f"{SCHEMAS[name]}, batch long").parquet(f"{self.path}/{name}")
+        return every.where(F.col("batch") <= self.last()).drop("batch")
+
+    def append(self, name: str, rows: DataFrame, batch: int | None = None) -> None:
+        """Add rows to a table, as part of a batch that is committed later or as a batch of its own."""
+        number = self.last() + 1 if batch is None else batch
+        columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
+        writer = rows.select(*columns).write.mode("overwrite")
         if name == "vectors":
             writer = writer.partitionBy("namespace")
-        writer.parquet(f"{self.path}/{name}")
+        writer.parquet(f"{self.path}/{name}/batch={number}")
+        if batch is None:
+            self.commit(number)
 
     def vectors(self, namespace: str) -> DataFrame:
         """One namespace; the others' files are pruned."""
@@ -54,6 +80,9 @@ class Store:
         fresh = embedded(self.missing(texts, namespace, prefix), "content", encoder)
         self.append("vectors", fresh.withColumn("namespace", F.lit(namespace)))
 
+    def ids(self, namespace: str) -> DataFrame:
+        return self.vectors(namespace).select("hash_id")
+
     def lookup(self, keys: DataFrame, namespace: str) -> DataFrame:
         return keys.select("hash_id").join(self.vectors(namespace), "hash_id")
 
@@ -64,13 +93,45 @@ def with_cached(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
     return hits, requests.select("request").distinct().join(cache, "request", "left_anti")
 
 
+GRAPHML_HEAD = [
+    '<?xml version="1.0" encoding="UTF-8"?>',
+    '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">',
+    '<key id="type" for="node" attr.name="type" attr.type="string"/>',
+    '<key id="weight" for="edge" attr.name="weight" attr.type="double"/>',
+    '<graph id="G" edgedefault="directed">',
+]
+GRAPHML_FOOT = ["</graph>", "</graphml>"]
+
+
 def export_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """The graph as GraphML lines in text files: head, nodes, edges, foot by file name order."""
-    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    """The graph as GraphML lines in text files; the parts head, nodes, edges and foot joined in this order are the document."""
+    def escaped(c: Column) -> Column:
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(sign), F.lit(name))
+        return c
+
     node = F.concat(F.lit('<node id="'), escaped(F.col("name")), F.lit('"><data key="type">'), "type", F.lit("</data></node>"))
     edge = F.concat(
         F.lit('<edge source="'), escaped(F.col("src")), F.lit('" target="'), escaped(F.col("dst")), F.lit('"><data key="weight">'),
         F.coalesce("weight", F.lit(1.0)).cast("string"), F.lit("</data></edge>"),
     )
+    lines = lambda rows: nodes.sparkSession.createDataFrame([(x,) for x in rows], "value string").coalesce(1)
+    lines(GRAPHML_HEAD).write.mode("overwrite").text(f"{path}/0-head")
     nodes.select(node).write.mode("overwrite").text(f"{path}/1-nodes")
     edges.select(edge).write.mode("overwrite").text(f"{path}/2-edges")
+    lines(GRAPHML_FOOT).write.mode("overwrite").text(f"{path}/3-foot")
+
+
+def import_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """nodes(name, type) and edges(src, dst, weight) of an exported graph."""
+    def plain(c: Column) -> Column:
+        for sign, name in (('"', "&quot;"), ("<", "&lt;"), ("&", "&amp;")):
+            c = F.replace(c, F.lit(name), F.lit(sign))
+        return c
+
+    part = lambda pattern: plain(F.regexp_extract("value", pattern, 1))
+    nodes = spark.read.text(f"{path}/1-nodes").select(part('id="([^"]*)"').alias("name"), part('"type">([^<]*)<').alias("type"))
+    edges = spark.read.text(f"{path}/2-edges").select(
+        part('source="([^"]*)"').alias("src"), part('target="([^"]*)"').alias("dst"), part('"weight">([^<]*)<').cast("double").alias("weight")
+    )
+    return nodes, edges

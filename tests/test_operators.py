@@ -1,7 +1,9 @@
 """Small graphs and tables with results worked out by hand."""
 
 import json
+import time
 
+import numpy as np
 import pytest
 from credence.config import GLOBAL
 from credence.operators import audit, beam, extraction, graph, knn, metrics, ppr, providers, registry, retrieval
@@ -128,8 +130,8 @@ def test_two_stage_puts_the_neighbourhood_first(spark):
     passages = spark.createDataFrame([(1, "chunk-1", 1.0), (1, "chunk-2", 0.9)], "query_id long, name string, score double")
     beliefs = spark.createDataFrame([(1, "proposition-p", 0.9)], "query_id long, prop_key string, score double")
     inclusion = spark.createDataFrame([("proposition-p", "entity-x")], "prop_key string, entity string")
-    near = spark.createDataFrame([("chunk-1", "proposition-p")], "name string, prop_key string")
-    scores = retrieval.two_stage(edges, passages, beliefs, inclusion, near, steps=4)
+    contains = spark.createDataFrame([("chunk-1", "entity-x"), ("chunk-2", "entity-y")], "name string, entity string")
+    scores = retrieval.two_stage(edges, passages, beliefs, inclusion, contains, steps=4)
     assert [r["name"] for r in retrieval.ranking(scores).orderBy("rank").collect()] == ["chunk-1", "chunk-2"]
 
 
@@ -203,6 +205,118 @@ def test_event_pipeline(spark, tmp_path):
     assert store.read("edges").where("type = 'agency'").count() == 3
 
 
+class Broken(Store):
+    """A store that fails at its n-th write."""
+
+    def __init__(self, spark, path, left):
+        super().__init__(spark, path)
+        self.left = left
+
+    def append(self, name, rows, batch=None):
+        if not self.left:
+            raise OSError("lost")
+        self.left -= 1
+        super().append(name, rows, batch)
+
+
+@pytest.mark.parametrize("left", [1, 4, 7])
+def test_a_batch_that_is_cut_off_is_done_anew(spark, tmp_path, left):
+    texts = lambda *t: spark.createDataFrame([(x,) for x in t], "content string")
+    path = f"file://{tmp_path}/store"
+    Pipeline(Store(spark, path), Speakers(), Contradictions()).process(texts("ann: not rain"), 0)
+    with pytest.raises(OSError, match="lost"):
+        Pipeline(Broken(spark, path, left), Speakers(), Contradictions()).process(texts("ann: rain"), 1)
+    store = Store(spark, path)
+    assert store.read("beliefs").count() == 1
+    flow = Pipeline(store, Speakers(), Contradictions())
+    assert [r["status"] for r in flow.process(texts("ann: rain"), 1)["audits"].collect()] == ["Inconsistent"]
+    assert flow.process(texts("ann: rain"), 1)["audits"].count() == 0
+    assert sorted(r["status"] for r in store.read("audits").collect()) == ["Inconsistent", "Neutral"]
+    assert store.read("beliefs").count() == 2
+
+
+def test_index_holds_all_edges_and_vectors(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    flow = Pipeline(store, Speakers(), Contradictions())
+    flow.process(spark.createDataFrame([("ann: rain",)], "content string"))
+    assert {r["type"] for r in store.read("edges").collect()} == {"agency", "inclusion", "contains"}
+    kinds = store.read("vectors").groupBy("namespace").count().collect()
+    assert {r["namespace"]: r["count"] for r in kinds} == {"chunk": 1, "entity": 2, "belief": 1}
+    assert store.read("vectors").where("size(embedding) = 0").count() == 0
+
+
+def test_synonyms_of_new_entities(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    flow = Pipeline(store, Speakers(), Contradictions())
+    flow.process(spark.createDataFrame([("New York: rain",), ("new york: sun",)], "content string"))
+    pairs = store.read("edges").where("type = 'synonymy'").select("src", "dst").collect()
+    assert sorted(map(tuple, pairs)) == [("entity-New York", "entity-new york"), ("entity-new york", "entity-New York")]
+
+
+def test_tiles_of_queries_and_keys(spark, monkeypatch):
+    from credence.operators import knn
+
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(60, 8))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "id long, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 6)
+    want = {(q, k): s for q in range(60) for k, s in sorted(enumerate(scores[q]), key=lambda x: (-x[1], x[0]))[:4]}
+    monkeypatch.setattr(knn, "TILE", 7)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(knn, "QUERY_ROWS", 25)
+    for limit in (knn.BROADCAST_BYTES, 0):
+        got = knn.nearest(rows, rows, 4, broadcast_bytes=limit, extremes=True).collect()
+        assert {(r["query_id"], r["key_id"]): r["score"] for r in got} == pytest.approx(want)
+        assert all(r["low"] == scores[r["query_id"]].min() and r["high"] == scores[r["query_id"]].max() for r in got)
+
+
+def test_models_that_fail_or_dawdle():
+    class Faulty:
+        left = 2
+
+        def infer(self, prompts):
+            self.left -= 1
+            if self.left >= 0:
+                raise OSError("busy")
+            return ["ok"] * len(prompts)
+
+    assert providers.Patient(Faulty(), 3, 0.01).infer(["p"]) == ["ok"]
+    assert providers.Patient(Faulty(), 2, 0.01).infer(["p"]) == [""]
+
+    class Slow:
+        def infer(self, prompts):
+            time.sleep(1)
+            return ["late"]
+
+    assert providers.Timely(Slow(), 0.05).infer(["p"]) == [""]
+    assert providers.JsonModel(providers.RecordedModel({"p": 'so: {"a": ["x"], "b'}), ["a"]).infer(["p", "q"]) == ['{"a": ["x"]}', '{"a": []}']
+
+
+def test_repairs():
+    from credence.functions.parsing import repaired
+
+    assert json.loads(repaired('Here is the JSON: {"a": ["x"], "b": ["y')) == {"a": ["x"], "b": ["y"]}
+    assert json.loads(repaired('{"a": "he said "no" twice", "b": 1}')) == {"a": 'he said "no" twice', "b": 1}
+    assert json.loads(repaired('```json\n{"a": [1, 2]}\n``` done')) == {"a": [1, 2]}
+    assert repaired("nothing here") is None
+
+
+def test_graphml_round_trip(spark, tmp_path):
+    from credence.sources.stores import export_graphml, import_graphml
+
+    nodes = spark.createDataFrame([('a<"&', "x", "entity"), ("b", "y", "belief")], "name string, content string, type string")
+    edges = spark.createDataFrame([('a<"&', "b", "agency", 2.5)], "src string, dst string, type string, weight double")
+    export_graphml(nodes, edges, str(tmp_path))
+    got = import_graphml(spark, str(tmp_path))
+    assert sorted(map(tuple, got[0].collect())) == [('a<"&', "entity"), ("b", "belief")]
+    assert [tuple(r) for r in got[1].collect()] == [('a<"&', "b", 2.5)]
+    whole = "".join(f.read_text() for part in sorted(tmp_path.iterdir()) for f in sorted(part.glob("part*")))
+    from xml.etree import ElementTree
+
+    assert len(ElementTree.fromstring(whole)[-1]) == 3
+
+
 def test_stream_equals_batch(spark, tmp_path):
     lines = ["ann: a", "bob: b", "ann: c"]
     for k, line in enumerate(lines):
