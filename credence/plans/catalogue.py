@@ -688,21 +688,6 @@ def proposition_extract(spark, sf):
 
 
 # ------------------------------------------------------------------ events and streams
-@query(
-    """WITH h AS (SELECT *, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s FROM events
-      WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT user_id, CASE WHEN s IS NULL THEN 'Neutral' WHEN abs(value - m) > 2 * s THEN 'Inconsistent' ELSE 'Consistent' END AS status, count(*) AS n
-    FROM h GROUP BY 1, 2"""
-)
-def event_audit(spark, sf):
-    """Each event against its user's earlier ones."""
-    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = table(spark, sf, "events").select("user_id", "value", F.avg("value").over(before).alias("m"), F.stddev_samp("value").over(before).alias("s"))
-    far = F.abs(F.col("value") - F.col("m")) > 2 * F.col("s")
-    status = F.when(F.col("s").isNull(), "Neutral").when(far, "Inconsistent").otherwise("Consistent")
-    return rows.groupBy("user_id", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT md5(text) AS chunk_key, any_value(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1")
 def stream_incremental_index(spark, sf):
     """A stream of documents, indexed batch by batch; a text that is known adds nothing."""
