@@ -8,7 +8,7 @@ so a later model learns from what an earlier one says about unseen documents.
 The categories are what the labels tell: poor (of low quality), toxic, and
 foul (both). The words that the models see are not given: they are all, whole
 or by their first bytes, whose presence differs significantly between toxic
-and other, or between poor and other labelled documents.
+and other labelled documents.
 
 Training uses at most SAMPLE labelled documents, those of smallest id hash;
 all documents are scored whole. Defined results: null and empty texts have no
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.llm.common import bounded_rows, flat_bytes, text_groups, text_hash, written
@@ -74,22 +74,16 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
 
 
 def selected(rows: DataFrame, least: float = LEAST_Z) -> np.ndarray:
-    """Hashes of the words whose presence differs by ``least`` or more between documents with a label and the others.
+    """Hashes of the words whose presence differs by ``least`` or more between toxic and other documents.
 
     Words are counted in Spark; only those that pass come to the driver.
     """
-    n, poor, toxic = rows.agg(F.count(F.lit(1)), F.sum("poor"), F.sum("toxic")).first()
-    each = rows.select("poor", "toxic", F.explode("words").alias("word")).groupBy("word")
-    counts = each.agg(F.count(F.lit(1)).alias("n"), F.sum("poor").alias("poor"), F.sum("toxic").alias("toxic")).where(F.col("n") >= LEAST_DOCS)
-
-    def z(label: str, with_label: int) -> Column:
-        if not 0 < with_label < n:
-            return F.lit(0.0)
-        share = F.col("n") / n
-        spread = F.sqrt(share * (1 - share) * (1 / with_label + 1 / (n - with_label))) + 1e-12
-        return F.abs(F.col(label) / with_label - (F.col("n") - F.col(label)) / (n - with_label)) / spread
-
-    passed = counts.where(F.greatest(z("poor", poor), z("toxic", toxic)) >= least).select("word")
+    n, toxic = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"))
+    share = F.col("n") / n
+    spread = F.sqrt(share * (1 - share) * (1 / toxic + 1 / (n - toxic))) + 1e-12
+    z = F.abs(F.col("toxic") / toxic - (F.col("n") - F.col("toxic")) / (n - toxic)) / spread
+    passed = counts.where((F.col("n") >= LEAST_DOCS) & (z >= least)).select("word")
     return np.array([r["word"] for r in bounded_rows(passed, MOST_WORDS, "words")], np.int64).view(np.uint64)
 
 
