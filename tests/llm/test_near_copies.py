@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from credence.llm import nearcopies, simhash
 
@@ -86,3 +87,29 @@ def test_equal_ids_of_other_texts_and_repeated_rows(spark, survivors):
     got = sorted((str(r["doc_id"]), r["text"] or "", r["t"]) for r in survivors(docs).collect())
     assert got == sorted([("1", prose[0], "a"), ("1", prose[1], "b"), ("3", prose[2], "d"), ("None", prose[2], "e"), ("None", "", "f")])
     assert survivors(docs.where("false")).count() == 0
+
+
+def test_prints_keep_small_pairs_of_the_least_similarity(spark):
+    """Sets of four and five shingles, whose fingerprints differ most at 0.8, pass the bounds."""
+    rng = np.random.default_rng(3)
+    worst_bits = worst_values = 0
+    for _ in range(2000):
+        grams = np.unique(rng.integers(0, 1 << 64, 5, np.uint64))
+        one, other = nearcopies.prints(grams[:4]), nearcopies.prints(grams)
+        worst_bits = max(worst_bits, sum(((a ^ b) & nearcopies.MASK).bit_count() for a, b in zip(one, other, strict=True)))
+        planes = [np.array(nearcopies.sketch(nearcopies.minima(g))).reshape(nearcopies.DEPTH, 4) for g in (grams[:4], grams)]
+        differing = np.bitwise_or.reduce(planes[0] ^ planes[1], axis=0).view(np.uint64)
+        worst_values = max(worst_values, sum(int(x).bit_count() for x in differing))
+    assert 36 < worst_bits <= nearcopies.RADIUS
+    assert 48 < worst_values <= nearcopies.SKETCH
+
+
+def test_short_near_copies_are_one_group(spark):
+    """Eight words against nine: four of five shingles are shared."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(200):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(9)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:8]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in nearcopies.survivors(docs).collect()) == list(range(0, 400, 2))
