@@ -23,9 +23,11 @@ def edited(rng, text, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("salts", [64, 1])
-def test_survivors_equal_all_pairs(spark, salts, monkeypatch):
+@pytest.mark.parametrize(("salts", "part", "pivots"), [(64, 512, 32), (1, 1, 1)])
+def test_survivors_equal_all_pairs(spark, salts, part, pivots, monkeypatch):
     monkeypatch.setattr(nearcopies, "SALTS", salts)
+    monkeypatch.setattr(nearcopies, "PART", part)
+    monkeypatch.setattr(nearcopies, "PIVOTS", pivots)
     rng = random.Random(5)
     rows = []
     for _ in range(12):
@@ -113,3 +115,22 @@ def test_short_near_copies_are_one_group(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:8]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in nearcopies.survivors(docs).collect()) == list(range(0, 400, 2))
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_shingles(spark):
+    rng = np.random.default_rng(4)
+    exact = 0
+    for _ in range(500):
+        grams = np.unique(rng.integers(0, 1 << 64, int(rng.integers(1, 3000)), np.uint64))
+        cut = int(rng.integers(0, len(grams)))
+        one, other = grams[cut // 2 :], grams[: len(grams) - cut // 3]
+        bits = sum(((a ^ b) & nearcopies.MASK).bit_count() for a, b in zip(nearcopies.parities(one), nearcopies.parities(other), strict=True))
+        differing = len(np.setxor1d(one, other))
+        assert bits <= differing and (bits - differing) % 2 == 0
+        exact += bits == differing
+    assert exact > 20
+
+
+def test_a_lower_similarity_is_refused(spark):
+    with pytest.raises(ValueError):
+        nearcopies.survivors(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 0.7)
