@@ -11,9 +11,12 @@ from credence.llm.common import drop, written
 ROUNDS = 64
 
 
-def _state(links: DataFrame) -> tuple[int, int]:
-    row = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "low"))).first()
-    return row[0], row[1] or 0
+def _settled(links: DataFrame) -> bool:
+    """Whether the links are stars: every node has one ``low``, which is no node itself."""
+    ends = links.select(F.col("node").alias("v"), F.lit(1).alias("above"), F.lit(0).alias("below"))
+    ends = ends.union(links.select("low", F.lit(0), F.lit(1)))
+    found = ends.groupBy("v").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+    return found.where("above > 1 or above > 0 and below > 0").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,9 +30,8 @@ def components(links: DataFrame) -> DataFrame:
     now = written(
         links.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("low")).distinct()
     )
-    state = _state(now)
     for _ in range(ROUNDS):
-        if not state[0]:
+        if _settled(now):
             return now
         both = now.union(now.select("low", "node")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -45,7 +47,5 @@ def components(links: DataFrame) -> DataFrame:
         )
         after = written(small)
         drop(now)
-        now, before, state = after, state, _state(after)
-        if state == before:
-            return now
+        now = after
     raise RuntimeError("components did not settle")
