@@ -1,7 +1,7 @@
 """Quality rules: hashed n-gram log-likelihood ratio, native Spark SQL only.
 
-Two multinomials over hashed words and word pairs are counted: one over
-documents labelled good (the trusted target), one over the whole corpus. A
+Two multinomials over hashed words and word pairs are counted in one pass: one
+over all documents labelled good (the trusted target), one over the whole corpus. A
 document's score is the sum of log p_target - log p_corpus over its features,
 divided by their number; it is kept when the score reaches the threshold and
 the base rules hold. One in HELD good documents, by a hash of its id, is held
@@ -19,17 +19,18 @@ is no threshold, so only the base rules decide.
 from __future__ import annotations
 
 import math
-import statistics
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import bounded_rows
+from credence.llm.common import bounded_rows, written
 
 #: Hash buckets of the two multinomials: 512 KB of ratios at any corpus size.
 BUCKETS = 1 << 16
-#: The target model is fitted on at most this many labelled documents, those of smallest id hash.
-TARGET_DOCS = 20_000
+#: Good ids are broadcast up to this many, some 60 MB; more are joined by a shuffle, to the same result.
+BROADCAST_IDS = 1 << 20
+#: Ranges in which held-out scores are counted at once.
+RANGES = 1 << 12
 #: Pseudo-count of each bucket, on the target's scale: a bucket that the target should hold
 #: only a few times by the corpus's rate says little when it holds none.
 PSEUDO = 5.0
@@ -70,35 +71,31 @@ def with_hashes(docs: DataFrame) -> DataFrame:
 
 
 def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Words and pairs of neighbours of all documents by hash bucket.
+    """Words and pairs of neighbours by hash bucket: n of all documents, wanted of those whose ``target`` is true.
 
     One partial row per task and bucket is shuffled.
     """
     return (
-        with_hashes(docs.select("text"))
-        .select(F.explode(F.concat("_ones", "_pairs")).alias("h"))
+        with_hashes(docs.select("text", "target"))
+        .select("target", F.explode(F.concat("_ones", "_pairs")).alias("h"))
         .groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("target").alias("wanted"))
     )
 
 
-def good_ids(labels: DataFrame, target_docs: int = TARGET_DOCS) -> DataFrame:
-    """doc_id of at most ``target_docs`` good documents, those of smallest hash, and whether each is held out."""
+def good_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of all good documents, and whether each is held out."""
     named = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs)
-    return chosen.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD)) == 0)
+    good = named.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD)) == 0)
+    return F.broadcast(good) if named.count() <= BROADCAST_IDS else good
 
 
 def ratios(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """log p_target - log p_corpus by bucket; both models smoothed alike."""
-    # at most target_docs ids of 8 bytes
-    target = docs.join(F.broadcast(good.where("not held")), "doc_id", "left_semi")
-    both = bucket_counts(docs, buckets).withColumnRenamed("n", "corpus").join(
-        bucket_counts(target, buckets).withColumnRenamed("n", "target"), "bucket", "left"
-    )
+    marked = docs.join(good, "doc_id", "left").withColumn("target", F.coalesce(~F.col("held"), F.lit(False)))
     counts = [(0, 0)] * buckets
-    for bucket, corpus, wanted in both.toLocalIterator():  # a row per bucket, a fixed number
-        counts[bucket] = (corpus, wanted or 0)
+    for bucket, corpus, wanted in bucket_counts(marked, buckets).toLocalIterator():  # a row per bucket, a fixed number
+        counts[bucket] = (corpus, wanted)
     all_corpus, all_target = (sum(x[i] for x in counts) for i in (0, 1))
     if not all_target:
         return [0.0] * buckets
@@ -106,18 +103,33 @@ def ratios(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS) -> list[flo
     return [math.log((wanted + PSEUDO) / (corpus * scale + PSEUDO)) for corpus, wanted in counts]
 
 
+def kth(scores: DataFrame, k: int) -> float:
+    """The score that ``k`` others precede in ascending order, exactly; rows are counted by range, never collected."""
+    low, high = scores.agg(F.min("score"), F.max("score")).first()
+    while low < high:
+        part = F.least(F.floor((F.col("score") - low) / ((high - low) / RANGES)), F.lit(RANGES - 1))
+        counted = scores.where(F.col("score").between(low, high)).groupBy(part.alias("part"))
+        rows = counted.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+        for r in sorted(bounded_rows(rows, RANGES, "ranges of scores")):
+            if k < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            k -= r["n"]
+    return low
+
+
 def threshold_of(docs: DataFrame, good: DataFrame, table: list[float], buckets: int, share: float = KEPT_SHARE) -> float:
     """The largest score that ``share`` of the held-out good documents reach, less the margin.
 
     Repeated ids count once, at their least.
     """
-    held = docs.join(F.broadcast(good.where("held")), "doc_id", "left_semi")
+    held = docs.join(good, "doc_id").where("held")
     rows = with_hashes(held).select("doc_id", score(table, buckets).alias("score")).groupBy("doc_id").agg(F.min("score").alias("score"))
-    # at most target_docs numbers
-    scores = sorted(r["score"] for r in bounded_rows(rows.select("score"), TARGET_DOCS, "held-out documents"))
-    if not scores:
+    scores = written(rows.select("score"))
+    n, spread = scores.agg(F.count(F.lit(1)), F.stddev_pop("score")).first()
+    if not n:
         return -math.inf
-    return scores[int(len(scores) * (1 - share))] - statistics.pstdev(scores) * (1 + FEW / len(scores))
+    return kth(scores, int(n * (1 - share))) - spread * (1 + FEW / n)
 
 
 def repeat_words(fives: Column) -> Column:

@@ -480,6 +480,26 @@ def test_ratio_rejects_what_the_target_lacks(spark):
     assert unlabelled.count() == 200
 
 
+def test_all_good_documents_count(spark, monkeypatch):
+    labels = spark.range(30_000).selectExpr("id as doc_id", "cast(id % 6 > 0 as int) as quality")
+    assert quality.good_ids(labels).count() == 25_000
+    rng = random.Random(10)
+    rows = [(k, " ".join(rng.choices(["one", "two", "three", "four", "five"], k=20))) for k in range(60)]
+    every = spark.createDataFrame(rows, "doc_id long, text string")
+    broadcast = quality.rated(every, labels).select("doc_id", "score", "kept").collect()
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    assert sorted(quality.rated(every, labels).select("doc_id", "score", "kept").collect()) == sorted(broadcast)
+
+
+def test_kth_score_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(quality, "RANGES", 3)
+    rng = random.Random(11)
+    values = [rng.choice([0.5, -1.0, 1e9, *(rng.gauss(0, 1) for _ in range(9))]) for _ in range(300)]
+    scores = spark.createDataFrame([(v,) for v in values], "score double")
+    for k in (0, 7, 150, 299):
+        assert quality.kth(scores, k) == sorted(values)[k]
+
+
 def test_query_scores_equal_brute_force_on_the_smallest_tables(spark):
     """op6's score and verdict by plain Python over whole tables."""
     sf = "/root/testdata/sf0.001"
