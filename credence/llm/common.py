@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,18 @@ def written(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
     return table
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run meanwhile hands at most ``rows`` rows to Python at once."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(size, before)
+
+
 def drop(table: DataFrame) -> None:
     """Remove a work table that nothing reads any more."""
     spark = table.sparkSession

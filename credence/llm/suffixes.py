@@ -37,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from credence.llm.common import bounded_rows, flat_bytes, text_groups, written
+from credence.llm.common import arrow_rows, bounded_rows, flat_bytes, text_groups, written
 from credence.llm.hashing import MASK, ODD, mixed
 
 LENGTH = 100
@@ -50,6 +50,8 @@ WIDTH = LENGTH - GRAM + 1
 PART = 1 << 20
 #: Bytes of texts, and rows, that a task works on at once: some ten numbers of 8 bytes are held for each byte.
 GROUP_BYTES, GROUP_ROWS = 1 << 18, 2048
+#: Texts handed to Python at once.
+BATCH = 1024
 #: Spans that a task holds to find repeats among them.
 AT_HAND = 1 << 17
 #: Spans under one anchor that one task may compare.
@@ -227,13 +229,15 @@ def settled(texts: DataFrame) -> DataFrame:
     )
     whole = Window.partitionBy("g")
     same = Window.partitionBy("g", "s").orderBy("doc", "t", "lo")
-    return written(
+    found = (
         spans.repartition("g")
         .withColumn("place", F.rank().over(same))
         .withColumn("several", F.min("s").over(whole) != F.max("s").over(whole))
         .where("known or place > 1 or several")
         .select("g", *KEY, "lo", "n", (F.col("known") | (F.col("place") > 1)).alias("earlier"))
     )
+    with arrow_rows(texts.sparkSession, BATCH):
+        return written(found)
 
 
 def holders(rows: DataFrame) -> np.ndarray:
@@ -250,16 +254,12 @@ def holders(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _held(column: str, words: np.ndarray):
-    """A function that splits batches by the filter; ``column`` has the documents' bits."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = batch.column(column).to_numpy()
-            here = (words[bit >> 6] >> (bit & 63)) & 1 == 1
-            yield batch.filter(pa.array(here))
-
-    return keep
+def _held(words: np.ndarray) -> Column:
+    """Whether a row's document may be in the filter. No text goes through Python for it."""
+    # a literal of fixed size travels with the plan
+    filter_words = F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<long>")
+    word = F.get(filter_words, F.shiftright(F.col("bit"), 6).cast("int"))
+    return F.call_function("shiftright", word, F.col("bit").bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,15 +397,11 @@ def removals(texts: DataFrame) -> DataFrame:
     first = found.where("not earlier").distinct()
     words = holders(first)
     bit = F.pmod(F.xxhash64(*KEY), F.lit(FILTER_BITS))
-    likely = texts.select(*KEY, "text", bit.alias("bit")).mapInArrow(
-        _held("bit", words), f"{KEY_TYPE}, text string, bit long"
-    )
+    likely = texts.select(*KEY, "text", bit.alias("bit")).where(_held(words))
     listed = first.groupBy(*KEY).agg(F.collect_list(F.struct("g", "lo", "n")).alias("listed"))
-    spans = written(
-        likely.join(listed, KEY)
-        .select(*KEY, F.col("text").cast("binary"), "listed")
-        .mapInArrow(_fetch, f"g long, {KEY_TYPE}, lo int, span binary")
-    )
+    cut = likely.join(listed, KEY).select(*KEY, F.col("text").cast("binary"), "listed")
+    with arrow_rows(texts.sparkSession, BATCH):
+        spans = written(cut.mapInArrow(_fetch, f"g long, {KEY_TYPE}, lo int, span binary"))
     many = spans.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD)
     few = spans.join(many, "g", "left_anti").repartition("g").sortWithinPartitions("g")
     compared = few.mapInArrow(_compare, f"{KEY_TYPE}, lo int, n int")
@@ -428,9 +424,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     bit = F.pmod(F.xxhash64(*KEY), F.lit(FILTER_BITS))
     marked = texts.withColumn("bit", bit)
     kept_schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    columns = f"doc_id long, {KEY_TYPE}, text string, bit long"
-    likely = marked.mapInArrow(_held("bit", words), columns)
-    others = marked.mapInArrow(_held("bit", ~words), columns)
+    likely, others = marked.where(_held(words)), marked.where(~_held(words))
     listed = gone.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "n")).alias("listed"))
     lists = "array<struct<lo:int,n:int>>"
     touched = likely.join(listed, KEY, "left").select("doc_id", F.col("text").cast("binary"), "listed")

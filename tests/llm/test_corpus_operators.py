@@ -697,6 +697,18 @@ def test_repeated_rows_and_null_ids(docs, nothing):
     assert suffixes.deduplicated(nothing).count() == 0
 
 
+def test_filter_of_holders_is_native(spark):
+    """The filter lets through every document that it holds, hardly any other, and sends no text to Python."""
+    rows = spark.range(3_000).selectExpr("id as doc", "id * 7 as t", "string(id) as text")
+    words = suffixes.holders(rows.where("doc % 3 = 0"))
+    marked = rows.withColumn("bit", F.pmod(F.xxhash64(*suffixes.KEY), F.lit(suffixes.FILTER_BITS)))
+    likely, others = marked.where(suffixes._held(words)), marked.where(~suffixes._held(words))
+    assert likely.where("doc % 3 = 0").count() == 1_000
+    assert likely.count() < 1_010
+    assert likely.count() + others.count() == 3_000
+    assert "MapInArrow" not in likely._jdf.queryExecution().toString()
+
+
 # ---------------------------------------------------------------- 9
 def test_fullest_fills_what_can_be_filled():
     rng = random.Random(1)
