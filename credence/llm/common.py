@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -69,6 +70,12 @@ def drop(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def collected(spark: SparkSession) -> None:
+    """Let go of plans, broadcasts and shuffles that nothing refers to any more, on the driver and through it on executors."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_hash() -> Column:
     """A hash of the text, by which rows of equal id are told apart; null counts as empty."""
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))

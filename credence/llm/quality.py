@@ -124,7 +124,7 @@ def threshold_of(docs: DataFrame, good: DataFrame, table: list[float], buckets:
     Repeated ids count once, at their least.
     """
     held = docs.join(good, "doc_id").where("held")
-    rows = with_hashes(held).select("doc_id", score(table, buckets).alias("score")).groupBy("doc_id").agg(F.min("score").alias("score"))
+    rows = scored(with_hashes(held), table, buckets).groupBy("doc_id").agg(F.min("score").alias("score"))
     scores = written(rows.select("score"))
     n, spread = scores.agg(F.count(F.lit(1)), F.stddev_pop("score")).first()
     if not n:
@@ -186,15 +186,21 @@ def base_columns(docs: DataFrame) -> DataFrame:
     )
 
 
-def score(table: list[float], buckets: int) -> Column:
-    """Mean ratio of the features of one text; 0 without words."""
-    # a literal of fixed size travels with the plan
-    values = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
+def scored(rows: DataFrame, table: list[float], buckets: int) -> DataFrame:
+    """``rows`` with score: the mean ratio of the features of one text; 0 without words.
 
-    def total(hashes: str) -> Column:
-        return F.aggregate(hashes, F.lit(0.0), lambda acc, h: acc + F.get(values, F.pmod(h, F.lit(buckets)).cast("int")))
+    The ratios are a scalar subquery. As a literal they would stand, 600 KB
+    each time, in every description of the plan that the driver keeps.
+    """
+    numbers = rows.sparkSession.createDataFrame([([float(f"{x:.6f}") for x in table],)], "ratios array<double>")
+
+    def total(hashes: Column) -> Column:
+        return F.aggregate(hashes, F.lit(0.0), lambda acc, h: acc + F.get("_ratios", F.pmod(h, F.lit(buckets)).cast("int")))
 
-    return (total("_ones") + total("_pairs")) / F.greatest(F.size("_ones") + F.size("_pairs"), F.lit(1))
+    # _ratios is used once, so the subquery itself takes its place and no row carries the numbers
+    both = F.aggregate(F.array("_ones", "_pairs"), F.lit(0.0), lambda acc, hashes: acc + total(hashes))
+    mean = both / F.greatest(F.size("_ones") + F.size("_pairs"), F.lit(1))
+    return rows.withColumn("_ratios", written(numbers).scalar()).withColumn("score", mean).drop("_ratios")
 
 
 def rated(docs: DataFrame, labels: DataFrame, threshold: float | None = None, buckets: int = BUCKETS) -> DataFrame:
@@ -204,8 +210,7 @@ def rated(docs: DataFrame, labels: DataFrame, threshold: float | None = None, bu
     table = ratios(narrow, good, buckets)
     least = threshold_of(narrow, good, table, buckets) if threshold is None else threshold
     return (
-        base_columns(docs)
-        .withColumn("score", score(table, buckets))
+        scored(base_columns(docs), table, buckets)
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
         .drop("_words", "_ones", "_pairs")
     )

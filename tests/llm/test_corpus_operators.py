@@ -442,6 +442,18 @@ def test_upper_case_and_decomposed_letters_leak(spark):
         assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [3]
 
 
+def test_quality_plans_hold_no_ratios(spark):
+    """A literal of all ratios made the descriptions of the plans, which the driver keeps, some MB long."""
+    docs = spark.createDataFrame([(k, f"some words of text {k} and more of them follow here today") for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(10)], "doc_id long, quality int, toxic int")
+    rated = quality.rated(docs, labels)
+    assert len({r["score"] for r in rated.collect()}) > 1
+    plan = rated._jdf.queryExecution()
+    assert len(plan.toString()) < 100_000
+    # the rows carry no ratios either
+    assert "_ratios" not in plan.executedPlan().toString()
+
+
 def test_blocks_of_items(benchmark):
     assert [len(b) for b in decontaminate.items_of(benchmark, 5)] == [1, 1]
 

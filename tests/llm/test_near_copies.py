@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
-from credence.llm import nearcopies, simhash
+from credence.llm import components, nearcopies, simhash
 
 
 def jaccard(one, other):
@@ -134,3 +134,21 @@ def test_parities_differ_in_no_more_bits_than_sets_in_shingles(spark):
 def test_a_lower_similarity_is_refused(spark):
     with pytest.raises(ValueError):
         nearcopies.survivors(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 0.7)
+
+
+def test_later_rounds_settle_only_what_new_links_join(spark, monkeypatch):
+    seen = []
+
+    def recorded(links):
+        seen.append(links.count())
+        return components.components(links)
+
+    monkeypatch.setattr(nearcopies, "components", recorded)
+    grown = spark.createDataFrame([(2, 1), (3, 1), (5, 4), (9, 8)], "node long, low long")
+    linked = spark.createDataFrame([(2, 3), (1, 3), (3, 5), (2, 4), (6, 7), (5, 7)], "a long, b long")
+    got = {r["node"]: r["low"] for r in nearcopies._joined(grown, linked).collect()}
+    assert got == {2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 9: 8}
+    # of six links, two lie in one component and two join the same ones
+    assert seen == [3]
+    same = nearcopies._joined(grown, linked.where("a < 0"))
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, grown.collect()))
