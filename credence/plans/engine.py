@@ -10,8 +10,8 @@ from credence.config import CHUNK
 from credence.functions import parsing, text, vectors
 from credence.operators import audit, beam, extraction, graph, knn, providers, qa, registry, retrieval
 from credence.plans.catalogue import COSINE, NORMAL_SQL, QUERIES, SQL, _vectors, query
-from credence.plans.projection import EDGES_SQL, all_edges, named, order_beliefs, supplier_chunks, table
-from credence.session import settled, work_path
+from credence.plans.projection import EDGES_SQL, all_edges, named, named_edges, named_nodes, numbered_edges, order_beliefs, supplier_chunks, table
+from credence.session import dropped, settled, work_path
 from credence.sources import datasets, stores
 from credence.streaming import events as streams
 
@@ -114,15 +114,15 @@ def belief_store(spark, sf):
 )
 def graph_export(spark, sf):
     """The graph written as GraphML and read again; its passages and their edges."""
-    edges = settled(all_edges(spark, sf))
+    numbers = settled(numbered_edges(spark, sf))
     path = work_path(spark)
-    stores.export_graphml(graph.nodes_of(edges), edges, path)
+    stores.export_graphml(named_nodes(numbers), named_edges(numbers), path, "gzip")
+    dropped(numbers)
     nodes, edges = stores.import_graphml(spark, path)
 
     def digest(kind, rows, *columns):
-        listed = F.array_sort(F.collect_list(F.struct(*columns)))
-        joined = F.array_join(F.transform(listed, lambda x: F.concat(*(x[c] for c in columns))), "")
-        return rows.where(F.col(columns[0]).startswith(CHUNK)).agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), _md5(joined).alias("names_md5"))
+        found = stores.ordered_md5(rows.where(F.col(columns[0]).startswith(CHUNK)), list(columns))
+        return found.select(F.lit(kind).alias("kind"), "n", F.col("md5").alias("names_md5"))
 
     return digest("edge", edges, "src", "dst").union(digest("node", nodes, "name"))
 

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.functions.text import key
 from credence.operators.providers import Encoder, embedded
+from credence.session import settled
 
 SCHEMAS = {
     "vectors": "namespace string, hash_id string, content string, embedding array<double>",
@@ -103,8 +111,11 @@ GRAPHML_HEAD = [
 GRAPHML_FOOT = ["</graph>", "</graphml>"]
 
 
-def export_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """The graph as GraphML lines in text files; the parts head, nodes, edges and foot joined in this order are the document."""
+def export_graphml(nodes: DataFrame, edges: DataFrame, path: str, compression: str = "none") -> None:
+    """The graph as GraphML lines in text files; the parts head, nodes, edges and foot joined in this order are the document.
+
+    Files that are each compressed by gzip still make one gzip file when joined.
+    """
     def escaped(c: Column) -> Column:
         for sign, name in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")):
             c = F.replace(c, F.lit(sign), F.lit(name))
@@ -116,10 +127,10 @@ def export_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
         F.coalesce("weight", F.lit(1.0)).cast("string"), F.lit("</data></edge>"),
     )
     lines = lambda rows: nodes.sparkSession.createDataFrame([(x,) for x in rows], "value string").coalesce(1)
-    lines(GRAPHML_HEAD).write.mode("overwrite").text(f"{path}/0-head")
-    nodes.select(node).write.mode("overwrite").text(f"{path}/1-nodes")
-    edges.select(edge).write.mode("overwrite").text(f"{path}/2-edges")
-    lines(GRAPHML_FOOT).write.mode("overwrite").text(f"{path}/3-foot")
+    lines(GRAPHML_HEAD).write.mode("overwrite").option("compression", compression).text(f"{path}/0-head")
+    nodes.select(node).write.mode("overwrite").option("compression", compression).text(f"{path}/1-nodes")
+    edges.select(edge).write.mode("overwrite").option("compression", compression).text(f"{path}/2-edges")
+    lines(GRAPHML_FOOT).write.mode("overwrite").option("compression", compression).text(f"{path}/3-foot")
 
 
 def import_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -135,3 +146,41 @@ def import_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
         part('source="([^"]*)"').alias("src"), part('target="([^"]*)"').alias("dst"), part('"weight">([^<]*)<').cast("double").alias("weight")
     )
     return nodes, edges
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        row = pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([len(texts)], pa.int64())
+        yield pa.RecordBatch.from_arrays([*row, pa.array([zlib.compress("".join(texts).encode(), 1)], pa.binary())], ["part", "at", "n", "text"])
+        at += 1
+
+
+def _md5_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, digest = 0, hashlib.md5()
+    for batch in batches:
+        n += pc.sum(batch.column("n")).as_py() or 0
+        for block in batch.column("text"):
+            digest.update(zlib.decompress(block.as_py()))
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], ["n", "md5"])
+
+
+def ordered_md5(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: n, and the md5 of the columns' texts joined in their order; null without rows.
+
+    Rows are sorted by ranges and joined into compressed blocks where they
+    are. An md5 can only be taken from the first byte on, so one task reads
+    the blocks, a few at a time.
+    """
+    text = F.coalesce(F.concat(*columns), F.lit("")).alias("text")
+    blocks = settled(rows.select(*columns).orderBy(*columns).select(text).mapInArrow(_blocks, "part int, at long, n long, text binary"))
+    conf, size = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(size)
+    conf.set(size, "16")
+    try:
+        found = settled(blocks.repartition(1).sortWithinPartitions("part", "at").mapInArrow(_md5_of, "n long, md5 string"))
+    finally:
+        conf.set(size, before)
+    return found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("md5").alias("md5"))
