@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from credence.llm.common import bounded_rows, flat_bytes, text_groups, written
 from credence.llm.huffman import _binary
-from credence.llm.tokens import encoder
+from credence.llm.tokens import encoder, released
 
 CAPACITY = 1024
 END_ID = 2
@@ -157,6 +157,8 @@ def placed(found: DataFrame, columns: str, capacity: int = CAPACITY) -> DataFram
     names = [c.split()[0] for c in columns.split(", ")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the pieces are written, so nothing is encoded from here on
+        released()
         for batch in batches:
             length = batch.column("length").to_numpy()
             rank = batch.column("rank").to_numpy() + batch.column("first").to_numpy()

@@ -7,6 +7,9 @@ each distinct piece is given to the tokenizer once per worker.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 
@@ -197,3 +200,17 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def released() -> None:
+    """Give this worker's encoders back to the system.
+
+    Spark reuses its Python workers. Each would hold its remembered pieces
+    through stages that encode nothing.
+    """
+    if _encoders:
+        _encoders.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+            ctypes.CDLL(None).malloc_trim(0)

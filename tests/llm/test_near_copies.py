@@ -4,8 +4,10 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
-from credence.llm import components, nearcopies, simhash
+from credence.llm import components, nearcopies, simhash, tokens
+from credence.llm.queries import vocabulary
 
 
 def jaccard(one, other):
@@ -152,3 +154,19 @@ def test_later_rounds_settle_only_what_new_links_join(spark, monkeypatch):
     assert seen == [3]
     same = nearcopies._joined(grown, linked.where("a < 0"))
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, grown.collect()))
+
+
+def test_no_encoder_stays_in_a_reused_worker():
+    """Spark reuses the workers of the stage that encoded; its remembered pieces stayed there through near_dedup."""
+    texts = pa.array(["one two three four five six", ""])
+    steps = [
+        (nearcopies._signatures, pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([3, 4]), texts], ["doc_id", "t", "text"])),
+        (nearcopies._compare(0.8), pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([3, 4]), texts, texts], ["a", "b", "text_a", "text_b"])),
+    ]
+    for step, batch in steps:
+        ids, _ = tokens.encoder(vocabulary()).encode(texts)
+        assert tokens._encoders
+        assert sum(b.num_rows for b in step(iter([batch]))) > 0
+        assert not tokens._encoders
+        # a later stage encodes as before
+        assert tokens.encoder(vocabulary()).encode(texts)[0].tolist() == ids.tolist()
